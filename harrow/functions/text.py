@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from harrow.functions.dictionaries import (
     COMPANY_SUFFIX_PATTERN,
@@ -26,9 +27,9 @@ TAG_RX = r"<[^>]+>"
 CASED = r"\p{Lu}\p{Ll}\p{Lt}"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _unescape(s: pd.Series) -> pd.Series:
-    has_amp = s.str.contains("&", regex=False).fillna(False)
+    has_amp = s.str.contains("&", regex=False, na=False).astype(bool)
     if not has_amp.any():
         return s
     out = s.copy()
@@ -82,7 +83,7 @@ def normalize_company(c: Column) -> Column:
 def normalize_title(c: Column) -> Column:
     """Lower, keep the part before a ' - ', ' | ', ' at ' separator, non-alnum
     to space, collapse, trim."""
-    t = F.element_at(F.split(F.lower(c), "(?U)" + TITLE_SPLIT_PATTERN, 2), 1)
+    t = F.try_element_at(F.split(F.lower(c), "(?U)" + TITLE_SPLIT_PATTERN, 2), F.lit(1))
     t = F.regexp_replace(t, r"[^a-z0-9 ]+", " ")
     t = F.trim(collapse_ws(t))
     return F.coalesce(t, F.lit(""))

