@@ -121,3 +121,51 @@ def url_job_id_sql(u: str, slug: str) -> str:
   WHEN {slug} = 'smartrecruiters' THEN coalesce({rx('/[^/]+/(\\d{6,})')}, {base})
   WHEN {slug} = 'workable' THEN coalesce(upper({rx('(?i)/j/([0-9A-F]{6,})')}), {base})
   ELSE {base} END"""
+
+
+def normalize_company_sql(x: str) -> str:
+    from harrow.functions.dictionaries import COMPANY_SUFFIX_PATTERN as P
+    t = f"regexp_replace(lower({x}), '{P}', ' ', 'g')"
+    t = f"regexp_replace({t}, '[^a-z0-9 ]+', ' ', 'g')"
+    return f"coalesce(trim(regexp_replace({t}, '\\s+', ' ', 'g')), '')"
+
+
+def title_norm_sql(x: str) -> str:
+    from harrow.functions.dictionaries import TITLE_SPLIT_PATTERN as P
+    t = f"regexp_split_to_array(lower({x}), '{P}')[1]"
+    t = f"regexp_replace({t}, '[^a-z0-9 ]+', ' ', 'g')"
+    return f"coalesce(trim(regexp_replace({t}, '\\s+', ' ', 'g')), '')"
+
+
+def title_key_sql(x: str) -> str:
+    from harrow.functions.dictionaries import TITLE_NOISE_PATTERN as P
+    t = f"regexp_replace({title_norm_sql(x)}, '{P}', ' ', 'gi')"
+    return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
+
+
+def hay_sql(x: str) -> str:
+    return f"regexp_replace(lower(coalesce({x}, '')), '\\s+', ' ', 'g')"
+
+
+def _re2(term: str) -> str:
+    from harrow.functions.regex import escape
+    return escape(term).replace("'", "''")
+
+
+def term_hit_sql(h: str, term: str) -> str:
+    return f"regexp_matches({h}, '(^|[^a-z0-9]){_re2(term)}($|[^a-z0-9])')"
+
+
+def any_hit_sql(h: str, terms) -> str:
+    return "(" + " OR ".join(term_hit_sql(h, t) for t in terms) + ")" if terms else "false"
+
+
+def matched_sql(h: str, terms) -> str:
+    items = ", ".join(f"CASE WHEN {term_hit_sql(h, t)} THEN '{t}' END" for t in terms)
+    return f"list_filter([{items}]::VARCHAR[], lambda x: x IS NOT NULL)"
+
+
+def freshness_sql(ts: str, now: str) -> str:
+    age = f"((epoch_us(TIMESTAMP '{now}') - epoch_us({ts})) / 1000000.0 / 86400.0)"
+    return (f"CAST(CASE WHEN {ts} IS NULL THEN 0.5 WHEN {age} <= 3 THEN 1.0 WHEN {age} <= 7 THEN 0.8 "
+            f"WHEN {age} <= 14 THEN 0.6 WHEN {age} <= 30 THEN 0.3 ELSE 0.1 END AS DOUBLE)")

@@ -27,7 +27,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         else F.col(f.name)
         for f in df.schema.fields
     ]
-    return df.select(*casts)
+    return spread(df.select(*casts))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a small input over all cores.
+
+    A single-row-group parquet file scans as one partition, which would run a
+    CPU-heavy per-row operator on one core.  Only inputs with fewer partitions
+    than the default parallelism are redistributed; a cluster-sized scan
+    already has thousands of splits and passes through unchanged.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
