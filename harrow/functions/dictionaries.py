@@ -223,3 +223,7 @@ NON_PUBLIC_IPV4 = (
     "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4", "255.255.255.255/32", "224.0.0.0/4",
 )
 PUBLIC_IPV4_EXCEPTIONS = ("192.0.0.9/32", "192.0.0.10/32")
+
+# Guild settings defaults.
+DEFAULT_SCAN_INTERVAL_HOURS = 6.0
+DEFAULT_GUILD_MIN_SCORE = 0.55
