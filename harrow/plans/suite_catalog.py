@@ -175,3 +175,23 @@ def s7(spark, sf):
     cat = derived(spark, sf, "d_catalog")
     sent = R.pending(cat, 0.55)
     return M.outbox(sent, cat.select("ord", "posted", "score", "status"), POSTINGS_NOW).select("ord", "posted", "posted_at")
+
+
+@register("m6_stream_catalog")
+def m6(spark, sf):
+    """The scan stream over the postings landed as several files; returns the final catalog."""
+    import uuid
+
+    from harrow.session import checkpoint_dir
+    from harrow.streaming.catalog_stream import stream_catalog
+    root = f"{checkpoint_dir(spark).rstrip('/')}/m6-{uuid.uuid4().hex}"
+    src = f"{root}/landed"
+    posts = derived(spark, sf, "d_postings")
+    # two arrival files in ord order, written one after the other
+    mid = posts.agg(F.percentile_approx("ord", 0.5)).first()[0]
+    posts.filter(F.col("ord") <= mid).coalesce(1).write.parquet(f"{src}/a")
+    posts.filter(F.col("ord") > mid).coalesce(1).write.parquet(f"{src}/b")
+    schema = spark.read.parquet(f"{src}/a").schema
+    src = f"{src}/*"
+    catalog_root = stream_catalog(spark, src, schema, root, POSTINGS_NOW)
+    return M.read_snapshot(spark, catalog_root, "catalog").select("dedup_key", "ord", "title", "score", "status")

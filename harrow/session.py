@@ -53,3 +53,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
     return path
+
+
+def reliable_checkpoint(df):
+    """Materialize ``df`` into the shared checkpoint folder and cut its lineage.
+
+    The rows are persisted (memory, spilling to disk) while the checkpoint is
+    written so the plan runs once, not twice; the persisted copy is dropped
+    afterwards.  A lost executor re-reads the checkpoint files instead of
+    recomputing the lineage.
+    """
+    from pyspark import StorageLevel
+
+    checkpoint_dir(df.sparkSession)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
