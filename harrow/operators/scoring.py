@@ -98,8 +98,8 @@ def score_postings(df: DataFrame, now: dt.datetime, min_score: float = DEFAULT_M
             .withColumn("__sw", matched_terms(hay, SOFTWARE_INDICATORS))
             .withColumn("__neg", matched_terms(hay, NEGATIVE_KEYWORDS)))
     if neg_extra_col is not None:
-        extra = F.filter(F.transform(neg_extra_col, lambda k: F.lower(k)), lambda k: hay.rlike(
-            F.concat(F.lit(r"(?<![a-z0-9])\Q"), k, F.lit(r"\E(?![a-z0-9])"))))
+        extra = F.filter(F.transform(neg_extra_col, lambda k: F.lower(k)), lambda k: F.rlike(
+            hay, F.concat(F.lit(r"(?<![a-z0-9])\Q"), k, F.lit(r"\E(?![a-z0-9])"))))
         df = df.withColumn("__neg", F.concat(F.col("__neg"), F.coalesce(extra, _empty())))
     elif extra_negatives:
         df = df.withColumn("__neg", F.concat(F.col("__neg"),
@@ -187,3 +187,16 @@ def gate(scored: DataFrame) -> DataFrame:
 def tag_categories(scored: DataFrame, key: str = "ord") -> DataFrame:
     """T6 as rows: one (key, category) per tag of a gated posting."""
     return scored.select(key, F.explode("categories").alias("category"))
+
+
+def score_params(postings: DataFrame, settings: DataFrame, now: dt.datetime, guild: str = "guild_id") -> DataFrame:
+    """Score each posting with its guild's preferred locations and terms,
+    extra negative keywords and min_score.  A posting belongs to one guild's
+    scan, so this is an equi-join on the guild (the settings side is one row
+    per guild), never a cross product."""
+    cfg = settings.select(guild, F.col("locations").alias("__locs_p"), F.col("academic_terms").alias("__terms_p"),
+                          F.col("negative_keywords").alias("__neg_p"), F.col("min_score").alias("__min_p"))
+    j = postings.join(cfg, guild, "left")
+    out = score_postings(j, now, params={"locations": "__locs_p", "terms": "__terms_p",
+                                         "negatives": "__neg_p", "min_score": "__min_p"})
+    return out.drop("__locs_p", "__terms_p", "__neg_p", "__min_p")

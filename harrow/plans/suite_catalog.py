@@ -195,3 +195,55 @@ def m6(spark, sf):
     src = f"{src}/*"
     catalog_root = stream_catalog(spark, src, schema, root, POSTINGS_NOW)
     return M.read_snapshot(spark, catalog_root, "catalog").select("dedup_key", "ord", "title", "score", "status")
+
+
+@register("s5_join_pages", with_views("""
+WITH pg AS (SELECT * FROM d_job_pages WHERE ord % 10 <> 9 QUALIFY row_number() OVER (PARTITION BY url ORDER BY ord) = 1)
+SELECT h.ord, h.url, pg.url IS NOT NULL AS has_page, pg.final_url, pg.status_code
+FROM d_postings h LEFT JOIN pg ON pg.url = h.url""", "d_postings", "d_job_pages"))
+def s5(spark, sf):
+    from harrow.sources.pages import join_pages
+    hits = derived(spark, sf, "d_postings").select("ord", "url")
+    return join_pages(hits, landed_job_pages(spark, sf)).select("ord", "url", "has_page", "final_url", "status_code")
+
+
+@register("s6_snapshot_roundtrip", with_views(
+    "SELECT ord, dedup_key, status, score FROM (SELECT ord, substr(sha256(url), 1, 32) AS dedup_key, status, score FROM d_catalog)",
+    "d_catalog"))
+def s6(spark, sf):
+    import uuid
+
+    from harrow.session import checkpoint_dir
+    root = f"{checkpoint_dir(spark).rstrip('/')}/s6-{uuid.uuid4().hex}"
+    cat = derived(spark, sf, "d_catalog").select("ord", F.substring(F.sha2(F.col("url"), 256), 1, 32).alias("dedup_key"),
+                                                 "status", "score")
+    M.write_snapshot(cat, root, "catalog", partition_by="status")
+    return M.read_snapshot(spark, root, "catalog").select("ord", "dedup_key", "status", "score")
+
+
+def _m4_oracle():
+    from harrow.plans.suite_dedup import _KEYED
+    from harrow.plans.suite_text import _score_oracle
+    return with_views(f"""WITH {_KEYED}, sc AS ({_score_oracle('d_postings', '1998-06-15 00:00:00')})
+SELECT DISTINCT base.dk AS dedup_key, unnest(string_split(sc.categories, ',')) AS category
+FROM sc JOIN base ON base.ord = sc.ord WHERE sc.passes_gate AND sc.categories <> ''""", "d_postings")
+
+
+@register("m4_merge_categories", _m4_oracle())
+def m4(spark, sf):
+    scored = S.gate(scored_batch(spark, sf))
+    empty = spark.createDataFrame([], "dedup_key string, category string")
+    return M.merge_categories(empty, scored)
+
+
+@register("m5b_merge_ignored", with_views(f"""
+WITH h AS (SELECT user_id % 20 AS guild_id, 1 + event_id AS ord FROM events WHERE event_type = 'click'),
+c AS (SELECT ord, {__import__('harrow.plans.sqltext', fromlist=['x']).normalize_company_sql('company')} AS normalized_company FROM d_catalog)
+SELECT DISTINCT h.guild_id, c.normalized_company FROM h JOIN c ON c.ord = h.ord WHERE c.normalized_company <> ''""", "d_catalog"))
+def m5b(spark, sf):
+    from harrow.functions.text import normalize_company
+    hides = read_table(spark, sf, "events").filter(F.col("event_type") == "click") \
+        .select((F.col("user_id") % 20).alias("guild_id"), (1 + F.col("event_id")).alias("ord"))
+    cat = derived(spark, sf, "d_catalog").select("ord", "company", normalize_company(F.col("company")).alias("normalized_company"))
+    empty = spark.createDataFrame([], "guild_id bigint, normalized_company string")
+    return M.merge_ignored(M.merge_ignored(empty, hides, cat), hides, cat)

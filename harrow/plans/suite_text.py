@@ -119,27 +119,45 @@ def t7(spark, sf):
     return S.freshness(e, "ts", EVENTS_NOW).select("event_id", "freshness")
 
 
-def _score_oracle(src: str, now: str, min_score: float = 0.55) -> str:
+def _score_oracle(src: str, now: str, min_score: float = 0.55, params: bool = False) -> str:
+    """T8 in SQL.  With ``params`` the source also carries per-row lists
+    (locations, academic_terms, negative_keywords) and a min_score column."""
     cats = ", ".join(f"CASE WHEN {any_hit_sql('hay', kws)} THEN '{c}' END" for c, kws in CATEGORY_KEYWORDS)
+    if params:
+        extra_cols = ", locations, academic_terms, negative_keywords, min_score AS min_s"
+        terms = ("list_filter(list_transform(academic_terms, lambda t: lower(t)), lambda t: "
+                 "contains(lower(concat_ws(' ', nullif(title, ''), nullif(description, ''))), t))")
+        locs = ("list_filter(list_transform(locations, lambda t: lower(t)), lambda t: "
+                "contains(lower(concat_ws(' ', nullif(location, ''), nullif(title, ''), nullif(description, ''))), t))")
+        extra_neg = ("list_filter(list_transform(negative_keywords, lambda k: lower(k)), lambda k: "
+                     "regexp_matches(hay, '(^|[^a-z0-9])\\Q' || k || '\\E($|[^a-z0-9])'))")
+        min_expr = "min_s"
+    else:
+        extra_cols = ""
+        terms = locs = extra_neg = "[]::VARCHAR[]"
+        min_expr = str(min_score)
     return f"""
-WITH b AS (SELECT ord, title, platform_slug, posting_date, coalesce(is_expired, false) AS expired,
+WITH b AS (SELECT ord, title, location, description, platform_slug, posting_date, coalesce(is_expired, false) AS expired{extra_cols},
     {hay_sql("concat_ws(' ', nullif(title, ''), nullif(company, ''), nullif(location, ''), nullif(description, ''))")} AS hay,
     {hay_sql('title')} AS thay FROM {src}),
 k AS (SELECT *, {matched_sql('hay', INTERNSHIP_INDICATORS)} AS ints, {matched_sql('hay', SOFTWARE_INDICATORS)} AS sws,
-    {matched_sql('hay', NEGATIVE_KEYWORDS)} AS negs,
+    list_concat({matched_sql('hay', NEGATIVE_KEYWORDS)}, {extra_neg}) AS negs,
+    {terms} AS terms, {locs} AS locs,
     nullif(title, '') IS NOT NULL AND {any_hit_sql('thay', SOFTWARE_INDICATORS)} AND {any_hit_sql('thay', INTERNSHIP_INDICATORS)} AS title_hit,
     {freshness_sql('posting_date', now)} * 0.1 AS fresh,
     nullif(platform_slug, '') IS NOT NULL AND platform_slug NOT IN ('company', 'generic') AS ats FROM b),
-f AS (SELECT *, len(ints) > 0 AS is_int, len(sws) > 0 AS is_sw, len(negs) > 0 AS has_neg FROM k),
-s AS (SELECT *, ((((((0.0 + CASE WHEN is_int THEN 0.25 ELSE 0.0 END) + CASE WHEN is_sw THEN 0.25 ELSE 0.0 END)
-      + CASE WHEN title_hit THEN 0.15 ELSE 0.0 END) + 0.0) + 0.0) + CASE WHEN ats THEN 0.07 ELSE 0.0 END) + fresh AS raw,
+f AS (SELECT *, len(ints) > 0 AS is_int, len(sws) > 0 AS is_sw, len(negs) > 0 AS has_neg, len(terms) > 0 AS has_term,
+    len(locs) > 0 AS has_loc FROM k),
+s AS (SELECT *, ((((((0.0::DOUBLE + CASE WHEN is_int THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END) + CASE WHEN is_sw THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END)
+      + CASE WHEN title_hit THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END) + CASE WHEN has_term THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END)
+      + CASE WHEN has_loc THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END) + CASE WHEN ats THEN 0.07::DOUBLE ELSE 0.0::DOUBLE END) + fresh AS raw,
       is_int AND is_sw AND NOT has_neg AS gate FROM f),
-t AS (SELECT *, greatest(0.0, least(1.0, (raw / 1.0) - CASE WHEN has_neg THEN 0.6 ELSE 0.0 END)) AS sc FROM s)
+t AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (raw / 1.0::DOUBLE) - CASE WHEN has_neg THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END)) AS sc FROM s)
 SELECT ord,
   CASE WHEN expired THEN 0.0::DOUBLE ELSE round(sc, 4) END AS score,
-  CASE WHEN expired THEN false ELSE gate AND sc >= {min_score} END AS is_relevant,
+  CASE WHEN expired THEN false ELSE gate AND sc >= {min_expr} END AS is_relevant,
   is_int AS is_internship, is_sw AS is_software, gate AS passes_gate,
-  CASE WHEN expired THEN '' ELSE array_to_string(list_sort(list_distinct(list_concat(ints, sws))), ',') END AS matched_keywords,
+  CASE WHEN expired THEN '' ELSE array_to_string(list_sort(list_distinct(list_concat(ints, sws, terms, locs))), ',') END AS matched_keywords,
   array_to_string(list_sort(list_distinct(negs)), ',') AS negatives,
   CASE WHEN expired OR NOT gate THEN '' ELSE coalesce(nullif(array_to_string(list_filter([{cats}]::VARCHAR[], lambda x: x IS NOT NULL), ','), ''), 'software') END AS categories,
   CASE WHEN expired THEN 'expired' ELSE concat_ws('; ', CASE WHEN NOT is_int THEN 'no internship indicator' END,
@@ -150,11 +168,11 @@ SELECT ord,
   CASE WHEN NOT expired AND title_hit THEN 0.15::DOUBLE END AS bd_title,
   CASE WHEN NOT expired AND ats THEN 0.07::DOUBLE END AS bd_ats,
   CASE WHEN NOT expired THEN round(fresh, 4) END AS bd_freshness,
-  CASE WHEN NOT expired AND has_neg THEN -0.6::DOUBLE END AS bd_negative_penalty
+  CASE WHEN NOT expired AND has_neg THEN -0.6::DOUBLE END AS bd_negative_penalty{", CASE WHEN NOT expired AND has_term THEN 0.1::DOUBLE END AS bd_term, CASE WHEN NOT expired AND has_loc THEN 0.08::DOUBLE END AS bd_location" if params else ""}
 FROM t"""
 
 
-def score_view(scored):
+def score_view(scored, extra_keys=()):
     bd = F.col("breakdown")
     return scored.select(
         "ord", "score", "is_relevant", "is_internship", "is_software", "passes_gate",
@@ -163,7 +181,7 @@ def score_view(scored):
         F.array_join("categories", ",").alias("categories"),
         F.array_join("reasons", "; ").alias("reasons"),
         *[F.try_element_at(bd, F.lit(k)).alias("bd_" + k)
-          for k in ("internship", "software", "title", "ats", "freshness", "negative_penalty")],
+          for k in ("internship", "software", "title", "ats", "freshness", "negative_penalty") + tuple(extra_keys)],
     )
 
 
@@ -183,3 +201,15 @@ def t6(spark, sf):
     "SELECT ord, score FROM (" + _score_oracle("d_postings", "1998-06-15 00:00:00") + ") WHERE passes_gate", "d_postings"))
 def t9(spark, sf):
     return S.gate(S.score_postings(derived(spark, sf, "d_postings"), POSTINGS_NOW)).select("ord", "score")
+
+
+@register("t10_score_params", __import__("harrow.plans.suite_reports", fromlist=["x"]).settings_oracle(
+    "SELECT * FROM (" + _score_oracle("(SELECT p.*, s.locations, s.academic_terms, s.negative_keywords, s.min_score "
+                                      "FROM d_postings p JOIN d_settings s ON s.guild_id = p.ord % 20)",
+                                      "1998-06-15 00:00:00", params=True) + ")").replace(
+    "WITH d_settings_log AS", "WITH d_postings AS (" + __import__("harrow.plans.fixtures", fromlist=["x"]).D_POSTINGS
+    + "),\nd_settings_log AS", 1))
+def t10(spark, sf):
+    from harrow.plans.suite_reports import d_settings
+    posts = derived(spark, sf, "d_postings").withColumn("guild_id", F.col("ord") % 20)
+    return score_view(S.score_params(posts, d_settings(spark, sf), POSTINGS_NOW), ("term", "location"))
