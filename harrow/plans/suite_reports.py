@@ -174,7 +174,35 @@ def guild_templates(spark, sf):
     return Q.build_queries(C.enabled_platforms(d_settings(spark, sf)))
 
 
-@register("q1_build_queries")
+def _q1_oracle() -> str:
+    from harrow.functions.dictionaries import GROUP_WEIGHT, JOB_TITLE_GROUPS, PLATFORMS, TITLE_GROUP_TO_CATEGORY
+    cat, weight = dict(TITLE_GROUP_TO_CATEGORY), dict(GROUP_WEIGHT)
+
+    def q(v):
+        return "'" + v.replace("'", "''") + "'"
+    plats = " UNION ALL ".join(f"SELECT {q(s)} AS slug, {q(d)} AS domain" for s, _, d in PLATFORMS)
+    groups = " UNION ALL ".join(
+        f"SELECT {q(g)} AS grp, [{', '.join(q(t) for t in titles)}] AS titles, {q(cat[g])} AS category, "
+        f"CAST({weight.get(g, 1.0)!r} AS DOUBLE) AS weight" for g, titles in JOB_TITLE_GROUPS)
+    clause = ("'(' || array_to_string(list_transform({x}, lambda t: CASE WHEN contains(t, ' ') OR contains(t, '-') "
+              "THEN '\"' || t || '\"' ELSE t END), ' OR ') || ')'")
+    return settings_oracle(f"""
+, cfg AS (SELECT guild_id, list_filter({_SLUG_LIST}, lambda s: NOT list_contains(disabled_platforms, s)) AS platforms,
+    CASE WHEN len(academic_terms) > 0 THEN academic_terms ELSE ['Summer 2027', 'Winter 2027', 'Spring 2027', 'Fall 2027', '2027 internship', '2027 co-op'] END AS terms,
+    CASE WHEN len(locations) > 0 THEN locations ELSE ['Toronto', 'Canada', 'United States', 'New York', 'San Francisco', 'Seattle', 'Vancouver', 'Waterloo', 'Remote', 'North America'] END AS locs
+  FROM d_settings),
+pl AS ({plats}),
+gr AS ({groups}),
+base AS (SELECT c.guild_id, c.terms, c.locs, p.slug, p.domain, g.grp, g.category, g.weight,
+    'site:' || p.domain || ' ' || {clause.format(x='g.titles[1:4]')} AS site
+  FROM (SELECT guild_id, terms, locs, unnest(platforms) AS slug FROM cfg) c JOIN pl p ON p.slug = c.slug, gr g),
+v AS (SELECT guild_id, site AS text, slug, grp, category, weight * 1.0 AS priority, 'title' AS variant FROM base
+  UNION ALL SELECT guild_id, site || ' ' || {clause.format(x='terms')}, slug, grp, category, weight * 0.8, 'title_term' FROM base WHERE len(terms) > 0
+  UNION ALL SELECT guild_id, site || ' ' || {clause.format(x='locs[1:5]')}, slug, grp, category, weight * 0.7, 'title_location' FROM base WHERE len(locs) > 0)
+SELECT guild_id, text, slug AS platform_slug, grp, category, priority, variant, substr(sha256(text), 1, 32) AS query_hash FROM v""")
+
+
+@register("q1_build_queries", _q1_oracle())
 def q1(spark, sf):
     return guild_templates(spark, sf).drop("gen_order")
 
