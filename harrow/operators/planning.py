@@ -227,28 +227,25 @@ def admit_requests(requests: DataFrame, hourly: int, daily: int, ts: str = "ts",
     Successes are ranked within their hour, the first ``hourly`` of them are
     ranked within the day, and the first ``daily`` of those are recorded; the
     running count of recorded calls then gives every request its outcome.
+    All ranks are running counts of a segmented scan over (day, ts, key), so a
+    day or hour holding most of the log is still spread over many tasks.
     """
-    day = F.to_date(F.col(ts))
-    hour = F.date_trunc("hour", F.col(ts))
-    df = requests.withColumn("__day", day).withColumn("__hour", hour)
-    order = [F.col(ts), F.col(key)]
-    succ = df.filter(F.col(ok))
-    succ = succ.withColumn("__h", F.row_number().over(Window.partitionBy("__hour").orderBy(*order)))
-    elig = succ.filter(F.col("__h") <= hourly)
-    elig = elig.withColumn("__d", F.row_number().over(Window.partitionBy("__day").orderBy(*order)))
-    recorded = elig.filter(F.col("__d") <= daily).select(key, F.lit(True).alias("__rec"))
-    df = df.join(recorded, key, "left").withColumn("__rec", F.coalesce(F.col("__rec"), F.lit(False)))
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    hcount = F.coalesce(F.sum(F.col("__rec").cast("int")).over(Window.partitionBy("__hour").orderBy(*order)
-                                                                 .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    dcount = F.coalesce(F.sum(F.col("__rec").cast("int")).over(Window.partitionBy("__day").orderBy(*order)
-                                                                 .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    del before
-    df = df.withColumn("__hc", hcount).withColumn("__dc", dcount)
+    from harrow.operators import segmented as G
+
+    df = requests.withColumn("__day", F.to_date(F.col(ts))).withColumn("__hour", F.date_trunc("hour", F.col(ts)))
+    df = G.sort_and_index(df, "__day", [ts, key])
+    succ = F.coalesce(F.col(ok), F.lit(False))
+    df = G.running_count(df, "__hour", succ, "__h", inclusive=True)
+    df = df.withColumn("__elig", succ & (F.col("__h") <= hourly))
+    df = G.running_count(df, "__day", F.col("__elig"), "__d", inclusive=True)
+    df = df.withColumn("__rec", F.col("__elig") & (F.col("__d") <= daily))
+    df = G.running_count(df, "__hour", F.col("__rec"), "__hc", inclusive=False)
+    df = G.running_count(df, "__day", F.col("__rec"), "__dc", inclusive=False)
     outcome = (F.when(F.col("__hc") >= hourly, F.lit("refused_hourly"))
                .when(F.col("__dc") >= daily, F.lit("refused_daily"))
-               .when(F.col(ok), F.lit("admitted")).otherwise(F.lit("failed")))
-    return df.withColumn("outcome", outcome).drop("__day", "__hour", "__rec", "__hc", "__dc")
+               .when(succ, F.lit("admitted")).otherwise(F.lit("failed")))
+    return (df.withColumn("outcome", outcome)
+              .drop("__day", "__hour", "__h", "__elig", "__d", "__rec", "__hc", "__dc", G.PID, G.POS))
 
 
 # -------------------------------------------------------------------------- S4

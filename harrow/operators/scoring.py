@@ -196,7 +196,9 @@ def score_params(postings: DataFrame, settings: DataFrame, now: dt.datetime, gui
     per guild), never a cross product."""
     cfg = settings.select(guild, F.col("locations").alias("__locs_p"), F.col("academic_terms").alias("__terms_p"),
                           F.col("negative_keywords").alias("__neg_p"), F.col("min_score").alias("__min_p"))
-    j = postings.join(cfg, guild, "left")
+    # a guild without settings rows scores with the defaults (settings are created on first use)
+    j = (postings.join(cfg, guild, "left")
+         .withColumn("__min_p", F.coalesce(F.col("__min_p"), F.lit(DEFAULT_MIN_SCORE))))
     out = score_postings(j, now, params={"locations": "__locs_p", "terms": "__terms_p",
                                          "negatives": "__neg_p", "min_score": "__min_p"})
     return out.drop("__locs_p", "__terms_p", "__neg_p", "__min_p")

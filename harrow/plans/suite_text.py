@@ -204,8 +204,11 @@ def t9(spark, sf):
 
 
 @register("t10_score_params", __import__("harrow.plans.suite_reports", fromlist=["x"]).settings_oracle(
-    "SELECT * FROM (" + _score_oracle("(SELECT p.*, s.locations, s.academic_terms, s.negative_keywords, s.min_score "
-                                      "FROM d_postings p JOIN d_settings s ON s.guild_id = p.ord % 20)",
+    "SELECT * FROM (" + _score_oracle("(SELECT p.*, coalesce(s.locations, []::VARCHAR[]) AS locations, "
+                                      "coalesce(s.academic_terms, []::VARCHAR[]) AS academic_terms, "
+                                      "coalesce(s.negative_keywords, []::VARCHAR[]) AS negative_keywords, "
+                                      "coalesce(s.min_score, 0.55) AS min_score "
+                                      "FROM d_postings p LEFT JOIN d_settings s ON s.guild_id = p.ord % 20)",
                                       "1998-06-15 00:00:00", params=True) + ")").replace(
     "WITH d_settings_log AS", "WITH d_postings AS (" + __import__("harrow.plans.fixtures", fromlist=["x"]).D_POSTINGS
     + "),\nd_settings_log AS", 1))
