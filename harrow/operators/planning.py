@@ -220,7 +220,7 @@ def resolve_provider(responses: DataFrame, provider_order=("serper", "bing", "br
 
 # -------------------------------------------------------------------------- S3
 def admit_requests(requests: DataFrame, hourly: int, daily: int, ts: str = "ts", ok: str = "succeeded",
-                   key: str = "request_id") -> DataFrame:
+                   key: str = "request_id", split_hot: bool | None = None) -> DataFrame:
     """S3: budget decision per request in arrival order.
 
     Hour check precedes day check; only admitted, successful calls use budget.
@@ -233,6 +233,10 @@ def admit_requests(requests: DataFrame, hourly: int, daily: int, ts: str = "ts",
     from harrow.operators import segmented as G
 
     df = requests.withColumn("__day", F.to_date(F.col(ts))).withColumn("__hour", F.date_trunc("hour", F.col(ts)))
+    if split_hot is None:
+        split_hot = G.needs_split(df, "__day")
+    if not split_hot:
+        return _admit_requests_window(df, hourly, daily, ts, ok, key)
     df = G.sort_and_index(df, "__day", [ts, key])
     succ = F.coalesce(F.col(ok), F.lit(False))
     df = G.running_count(df, "__hour", succ, "__h", inclusive=True)
@@ -248,6 +252,28 @@ def admit_requests(requests: DataFrame, hourly: int, daily: int, ts: str = "ts",
               .drop("__day", "__hour", "__h", "__elig", "__d", "__rec", "__hc", "__dc", G.PID, G.POS))
 
 
+def _admit_requests_window(df: DataFrame, hourly: int, daily: int, ts: str, ok: str, key: str) -> DataFrame:
+    """S3 with windows per hour/day (every day is known to fit one task)."""
+    order = [F.col(ts), F.col(key)]
+    succ = F.coalesce(F.col(ok), F.lit(False))
+    by_hour = Window.partitionBy("__hour").orderBy(*order)
+    by_day = Window.partitionBy("__day").orderBy(*order)
+    before_h = by_hour.rowsBetween(Window.unboundedPreceding, -1)
+    before_d = by_day.rowsBetween(Window.unboundedPreceding, -1)
+    upto_h = by_hour.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto_d = by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumn("__h", F.sum(succ.cast("long")).over(upto_h))
+    df = df.withColumn("__elig", succ & (F.col("__h") <= hourly))
+    df = df.withColumn("__d", F.sum(F.col("__elig").cast("long")).over(upto_d))
+    df = df.withColumn("__rec", F.col("__elig") & (F.col("__d") <= daily))
+    df = (df.withColumn("__hc", F.coalesce(F.sum(F.col("__rec").cast("long")).over(before_h), F.lit(0)))
+            .withColumn("__dc", F.coalesce(F.sum(F.col("__rec").cast("long")).over(before_d), F.lit(0))))
+    outcome = (F.when(F.col("__hc") >= hourly, F.lit("refused_hourly"))
+               .when(F.col("__dc") >= daily, F.lit("refused_daily"))
+               .when(succ, F.lit("admitted")).otherwise(F.lit("failed")))
+    return df.withColumn("outcome", outcome).drop("__day", "__hour", "__h", "__elig", "__d", "__rec", "__hc", "__dc")
+
+
 # -------------------------------------------------------------------------- S4
 def hits_for_site(hits: DataFrame, query: str, page: int = 1, per_page: int = 10, order: str = "ord") -> DataFrame:
     """Hits whose URL contains the query's ``site:`` token, one result page."""
