@@ -21,6 +21,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     Column pruning and filter pushdown still reach the parquet scan because the
     cast is a plain projection.
     """
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        # every timestamp rule here reads naive times as UTC
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     casts = [
         F.col(f.name).cast("timestamp").alias(f.name) if isinstance(f.dataType, TimestampNTZType)
