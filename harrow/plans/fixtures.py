@@ -99,6 +99,19 @@ SELECT event_id AS seq, ts, user_id % 20 AS guild_id,
 FROM events
 """
 
+# Spark form of d_queries: the three variants come from inline() of a literal
+# array instead of a cross join with a literal table (same rows).
+D_QUERIES_SPARK = """
+SELECT p_brand AS platform_slug, p_type AS grp, v.variant AS variant, 'site:' || p_brand || ' ' || p_type || ' ' || v.variant AS text,
+  v.factor * CAST(1 + length(p_type) % 5 AS DOUBLE) AS priority
+FROM (SELECT DISTINCT p_brand, p_type FROM part) b
+LATERAL VIEW inline(array(named_struct('variant', 'title', 'factor', CAST(1.0 AS DOUBLE)),
+                          named_struct('variant', 'title_term', 'factor', CAST(0.8 AS DOUBLE)),
+                          named_struct('variant', 'title_location', 'factor', CAST(0.7 AS DOUBLE)))) v
+"""
+
+SPARK_OVERRIDES = {"d_queries": D_QUERIES_SPARK}
+
 # name -> (sql, derived views it reads)
 VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "d_postings": (D_POSTINGS, ()),
@@ -127,7 +140,7 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived view as a Spark DataFrame over the landed tables in ``sf_dir``."""
     register_tables(spark, sf_dir, ("orders", "customer", "pages", "part", "events"))
     for n in _closure([name]):
-        spark.sql(VIEWS[n][0]).createOrReplaceTempView(n)
+        spark.sql(SPARK_OVERRIDES.get(n, VIEWS[n][0])).createOrReplaceTempView(n)
     return spark.table(name)
 
 
