@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from harrow.functions.dictionaries import EXPIRED_PHRASES
 from harrow.operators import catalog as M
 from harrow.operators import dedup as D
 from harrow.operators import expiry as X
@@ -31,10 +32,7 @@ def j3(spark, sf):
 
 
 _PHRASE_SQL = "CASE " + " ".join(
-    f"WHEN contains(lower(html), '{p}') THEN 'phrase:{p}'" for p in (
-        "job no longer available", "position filled", "position has been filled", "applications closed",
-        "applications are closed", "job has expired", "this job is no longer accepting applications",
-        "no longer accepting applications", "posting is closed", "this position is closed", "job not found")) + " END"
+    f"WHEN contains(lower(html), '{p}') THEN 'phrase:{p}'" for p in EXPIRED_PHRASES) + " END"
 
 _BTN_SQL = """(len(list_filter(list_transform(regexp_extract_all(html, '(?is)<button\\b[^>]*>.*?</button\\s*>|<a\\b[^>]*>.*?</a\\s*>'),
     lambda e: {'t': lower(trim(regexp_replace(regexp_replace(e, '(?is)^<[a-z]+\\b[^>]*>|</[a-z]+\\s*>$', '', 'g'), '<[^>]+>', '', 'g'))),

@@ -154,16 +154,16 @@ def f7(spark, sf):
     return R.active_settings(d_settings(spark, sf)).select("guild_id")
 
 
-_ALL_SLUGS = ("ashby", "greenhouse", "greenhouse_jb", "lever", "workday", "workday_alt", "smartrecruiters",
-              "smartrecruiters_careers", "workable", "jobvite", "bamboohr", "icims", "careerspage", "recruitee",
-              "personio", "rippling", "adp", "oracle", "successfactors")
+_ALL_SLUGS = tuple(p[0] for p in __import__("harrow.functions.dictionaries", fromlist=["x"]).PLATFORMS)
 _SLUG_LIST = "[" + ", ".join(f"'{s}'" for s in _ALL_SLUGS) + "]"
+_TERMS_LIST = "[" + ", ".join(f"'{t}'" for t in __import__("harrow.functions.dictionaries", fromlist=["x"]).DEFAULT_ACADEMIC_TERMS) + "]"
+_LOCS_LIST = "[" + ", ".join(f"'{t}'" for t in __import__("harrow.functions.dictionaries", fromlist=["x"]).DEFAULT_LOCATIONS) + "]"
 
 
 @register("q2_enabled_platforms", settings_oracle(f"""
 SELECT guild_id, array_to_string(list_filter({_SLUG_LIST}, lambda s: NOT list_contains(disabled_platforms, s)), '|') AS platforms,
-  array_to_string(CASE WHEN len(academic_terms) > 0 THEN academic_terms ELSE ['Summer 2027', 'Winter 2027', 'Spring 2027', 'Fall 2027', '2027 internship', '2027 co-op'] END, '|') AS academic_terms,
-  array_to_string(CASE WHEN len(locations) > 0 THEN locations ELSE ['Toronto', 'Canada', 'United States', 'New York', 'San Francisco', 'Seattle', 'Vancouver', 'Waterloo', 'Remote', 'North America'] END, '|') AS locations
+  array_to_string(CASE WHEN len(academic_terms) > 0 THEN academic_terms ELSE {_TERMS_LIST} END, '|') AS academic_terms,
+  array_to_string(CASE WHEN len(locations) > 0 THEN locations ELSE {_LOCS_LIST} END, '|') AS locations
 FROM d_settings"""))
 def q2(spark, sf):
     e = C.enabled_platforms(d_settings(spark, sf))
@@ -188,8 +188,8 @@ def _q1_oracle() -> str:
               "THEN '\"' || t || '\"' ELSE t END), ' OR ') || ')'")
     return settings_oracle(f"""
 , cfg AS (SELECT guild_id, list_filter({_SLUG_LIST}, lambda s: NOT list_contains(disabled_platforms, s)) AS platforms,
-    CASE WHEN len(academic_terms) > 0 THEN academic_terms ELSE ['Summer 2027', 'Winter 2027', 'Spring 2027', 'Fall 2027', '2027 internship', '2027 co-op'] END AS terms,
-    CASE WHEN len(locations) > 0 THEN locations ELSE ['Toronto', 'Canada', 'United States', 'New York', 'San Francisco', 'Seattle', 'Vancouver', 'Waterloo', 'Remote', 'North America'] END AS locs
+    CASE WHEN len(academic_terms) > 0 THEN academic_terms ELSE {_TERMS_LIST} END AS terms,
+    CASE WHEN len(locations) > 0 THEN locations ELSE {_LOCS_LIST} END AS locs
   FROM d_settings),
 pl AS ({plats}),
 gr AS ({groups}),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from harrow.functions.dictionaries import PLATFORMS, POSTING_PLATFORMS
 from harrow.operators import urls as U
 from harrow.plans.fixtures import derived, with_views
 from harrow.plans.registry import register
@@ -36,13 +37,7 @@ def p3(spark, sf):
     return U.url_hosts(read_table(spark, sf, "pages").select("page_id", "url")).select("page_id", "host")
 
 
-_ALLOW = ", ".join("'" + d + "'" for d in ["jobs.ashbyhq.com", "boards.greenhouse.io", "job-boards.greenhouse.io",
-                                           "jobs.lever.co", "myworkdayjobs.com", "workdayjobs.com",
-                                           "jobs.smartrecruiters.com", "careers.smartrecruiters.com",
-                                           "apply.workable.com", "jobs.jobvite.com", "jobs.bamboohr.com",
-                                           "jobs.icims.com", "careers-page.com", "recruitee.com",
-                                           "jobs.personio.com", "ats.rippling.com", "careers.adp.com",
-                                           "oraclecloud.com", "successfactors.com", "example.com"])
+_ALLOW = ", ".join("'" + d + "'" for d in [p[2] for p in PLATFORMS] + ["example.com"])
 
 
 @register("p4_filter_crawlable", f"""
@@ -58,20 +53,9 @@ def p4(spark, sf):
     return U.filter_crawlable(read_table(spark, sf, "pages").select("page_id", "url"), extra_domains=("example.com",))
 
 
-_PLAT_CASE = """CASE
-  WHEN suffix(host, 'jobs.ashbyhq.com') THEN 'ashby'
-  WHEN suffix(host, 'boards.greenhouse.io') OR suffix(host, 'job-boards.greenhouse.io') THEN 'greenhouse'
-  WHEN suffix(host, 'jobs.lever.co') THEN 'lever'
-  WHEN suffix(host, 'myworkdayjobs.com') OR suffix(host, 'workdayjobs.com') THEN 'workday'
-  WHEN suffix(host, 'jobs.smartrecruiters.com') OR suffix(host, 'careers.smartrecruiters.com') THEN 'smartrecruiters'
-  WHEN suffix(host, 'apply.workable.com') THEN 'workable'
-  WHEN suffix(host, 'jobs.jobvite.com') THEN 'jobvite' WHEN suffix(host, 'jobs.bamboohr.com') THEN 'bamboohr'
-  WHEN suffix(host, 'jobs.icims.com') THEN 'icims' WHEN suffix(host, 'careers-page.com') THEN 'careerspage'
-  WHEN suffix(host, 'recruitee.com') THEN 'recruitee' WHEN suffix(host, 'jobs.personio.com') THEN 'personio'
-  WHEN suffix(host, 'ats.rippling.com') THEN 'rippling' WHEN suffix(host, 'careers.adp.com') THEN 'adp'
-  WHEN suffix(host, 'oraclecloud.com') THEN 'oracle' WHEN suffix(host, 'successfactors.com') THEN 'successfactors'
-  WHEN suffix(host, 'example.com') OR suffix(host, 'example.org') OR suffix(host, 'careers.acme.com') THEN 'company'
-END"""
+_PLAT_CASE = "CASE " + " ".join(
+    "WHEN " + " OR ".join(f"suffix(host, '{d}')" for d in domains) + f" THEN '{slug}'"
+    for slug, domains in POSTING_PLATFORMS + (("company", COMPANY_DOMAINS),)) + " END"
 
 
 @register("p5_resolve_platform", with_views(f"""
