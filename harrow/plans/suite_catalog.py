@@ -14,6 +14,7 @@ from harrow.operators import reports as R
 from harrow.operators import scoring as S
 from harrow.plans.fixtures import derived, with_views
 from harrow.plans.registry import register
+from harrow.plans.sqltext import normalize_company_sql
 from harrow.plans.suite_dedup import keyed_postings
 from harrow.plans.suite_pages import _LD_BLOCK, landed_job_pages
 from harrow.sources.tables import read_table
@@ -236,7 +237,7 @@ def m4(spark, sf):
 
 @register("m5b_merge_ignored", with_views(f"""
 WITH h AS (SELECT user_id % 20 AS guild_id, 1 + event_id AS ord FROM events WHERE event_type = 'click'),
-c AS (SELECT ord, {__import__('harrow.plans.sqltext', fromlist=['x']).normalize_company_sql('company')} AS normalized_company FROM d_catalog)
+c AS (SELECT ord, {normalize_company_sql('company')} AS normalized_company FROM d_catalog)
 SELECT DISTINCT h.guild_id, c.normalized_company FROM h JOIN c ON c.ord = h.ord WHERE c.normalized_company <> ''""", "d_catalog"))
 def m5b(spark, sf):
     from harrow.functions.text import normalize_company

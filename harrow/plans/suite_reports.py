@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from harrow.functions import dictionaries as _D
 from harrow.functions.text import normalize_company, sha32
 from harrow.operators import planning as Q
 from harrow.operators import reports as R
@@ -154,10 +155,10 @@ def f7(spark, sf):
     return R.active_settings(d_settings(spark, sf)).select("guild_id")
 
 
-_ALL_SLUGS = tuple(p[0] for p in __import__("harrow.functions.dictionaries", fromlist=["x"]).PLATFORMS)
+_ALL_SLUGS = tuple(p[0] for p in _D.PLATFORMS)
 _SLUG_LIST = "[" + ", ".join(f"'{s}'" for s in _ALL_SLUGS) + "]"
-_TERMS_LIST = "[" + ", ".join(f"'{t}'" for t in __import__("harrow.functions.dictionaries", fromlist=["x"]).DEFAULT_ACADEMIC_TERMS) + "]"
-_LOCS_LIST = "[" + ", ".join(f"'{t}'" for t in __import__("harrow.functions.dictionaries", fromlist=["x"]).DEFAULT_LOCATIONS) + "]"
+_TERMS_LIST = "[" + ", ".join(f"'{t}'" for t in _D.DEFAULT_ACADEMIC_TERMS) + "]"
+_LOCS_LIST = "[" + ", ".join(f"'{t}'" for t in _D.DEFAULT_LOCATIONS) + "]"
 
 
 @register("q2_enabled_platforms", settings_oracle(f"""

@@ -15,8 +15,9 @@ from harrow.functions.dictionaries import (
 from harrow.operators import scoring as S
 from harrow.operators import text as T
 from harrow.operators.urls import canonicalize_urls
-from harrow.plans.fixtures import derived, with_views
+from harrow.plans.fixtures import D_POSTINGS, derived, with_views
 from harrow.plans.registry import register
+from harrow.plans.suite_reports import d_settings, settings_oracle
 from harrow.plans.sqltext import (
     any_hit_sql,
     canonical_cte,
@@ -203,16 +204,15 @@ def t9(spark, sf):
     return S.gate(S.score_postings(derived(spark, sf, "d_postings"), POSTINGS_NOW)).select("ord", "score")
 
 
-@register("t10_score_params", __import__("harrow.plans.suite_reports", fromlist=["x"]).settings_oracle(
+@register("t10_score_params", settings_oracle(
     "SELECT * FROM (" + _score_oracle("(SELECT p.*, coalesce(s.locations, []::VARCHAR[]) AS locations, "
                                       "coalesce(s.academic_terms, []::VARCHAR[]) AS academic_terms, "
                                       "coalesce(s.negative_keywords, []::VARCHAR[]) AS negative_keywords, "
                                       "coalesce(s.min_score, 0.55) AS min_score "
                                       "FROM d_postings p LEFT JOIN d_settings s ON s.guild_id = p.ord % 20)",
                                       "1998-06-15 00:00:00", params=True) + ")").replace(
-    "WITH d_settings_log AS", "WITH d_postings AS (" + __import__("harrow.plans.fixtures", fromlist=["x"]).D_POSTINGS
+    "WITH d_settings_log AS", "WITH d_postings AS (" + D_POSTINGS
     + "),\nd_settings_log AS", 1))
 def t10(spark, sf):
-    from harrow.plans.suite_reports import d_settings
     posts = derived(spark, sf, "d_postings").withColumn("guild_id", F.col("ord") % 20)
     return score_view(S.score_params(posts, d_settings(spark, sf), POSTINGS_NOW), ("term", "location"))
