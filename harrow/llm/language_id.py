@@ -29,6 +29,8 @@ CHUNK = 1024
 LEVEL = 5
 #: Least lead over the second best, as a share of the best size, for a decision that is not rejected.
 MARGIN = 0.01
+#: Below this lead the text is compressed again behind RUN_IN bytes of each dictionary, and those bytes are added.
+NARROW, RUN_IN = 0.05, 128
 #: Scores are softmax weights of the saved bytes; one byte counts SHARPNESS.
 SHARPNESS = 0.25
 LETTER = regex.compile(r"\p{L}")
@@ -67,11 +69,27 @@ def _compressors(dictionaries: Mapping[str, bytes]) -> list[zstd.ZstdCompressor]
     return out
 
 
-def sizes(text: str, compressors: list[zstd.ZstdCompressor]) -> np.ndarray:
-    """Compressed bytes of the whole text with each dictionary."""
+def sizes(text: str, compressors: list[zstd.ZstdCompressor], run_in: list[bytes] | None = None) -> np.ndarray:
+    """Compressed bytes of the whole text with each dictionary.
+
+    A block that would not shrink is stored as it is, so short texts tie.  With
+    ``run_in``, a piece of each dictionary's own content before every chunk, all
+    blocks shrink and each byte that a dictionary saves counts.
+    """
     body = clean(text)
     chunks = [body[i:i + CHUNK] for i in range(0, len(body), CHUNK)]
-    return np.array([sum(map(len, c.multi_compress_to_buffer(chunks))) for c in compressors])
+    if run_in is None:
+        return np.array([sum(map(len, c.multi_compress_to_buffer(chunks))) for c in compressors])
+    out = []
+    for c, start in zip(compressors, run_in):
+        own = len(c.compress(start))
+        out.append(sum(len(x) - own for x in c.multi_compress_to_buffer([start + chunk for chunk in chunks])))
+    return np.array(out)
+
+
+def _lead(size: np.ndarray) -> float:
+    """How far the best is before the second best, as a share of the best."""
+    return float((np.partition(size, 1)[1] - size.min()) / max(size.min(), 1)) if len(size) > 1 else math.inf
 
 
 def predict(docs: DataFrame, dictionaries: Mapping[str, bytes], text: str = "text") -> DataFrame:
@@ -88,7 +106,7 @@ def predict(docs: DataFrame, dictionaries: Mapping[str, bytes], text: str = "tex
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        compressors = _compressors(dictionaries)
+        compressors, run_in = _compressors(dictionaries), [d[:RUN_IN] for d in dictionaries.values()]
         for texts in batches:
             rows = []
             for t in texts:
@@ -96,10 +114,11 @@ def predict(docs: DataFrame, dictionaries: Mapping[str, bytes], text: str = "tex
                     rows.append((UNKNOWN, 0.0, True))
                     continue
                 size = sizes(t, compressors)
+                if _lead(size) < NARROW:
+                    size = size + sizes(t, compressors, run_in)
                 best = int(size.argmin())
                 weight = np.exp(-np.minimum(SHARPNESS * (size - size[best]), 700.0))
-                lead = (np.partition(size, 1)[1] - size[best]) / max(size[best], 1) if len(names) > 1 else math.inf
-                rows.append((names[best], float(1.0 / weight.sum()), bool(lead < MARGIN)))
+                rows.append((names[best], float(1.0 / weight.sum()), _lead(size) < MARGIN))
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"])
 
     return (docs.drop("lang_pred", "score", "rejected").withColumn("_judged", judged(F.col(text)))

@@ -167,7 +167,8 @@ def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: str
         sample_fraction(rows.where("_toxic = 0"), "_toxic", ORDINARY_SAMPLE, key_hash)).select("_toxic", "_text"))
     n1, n0 = shares.get(1, 0), shares.get(0, 0)
     words = distinctive_words(sample)
-    plain = [r["_text"].encode() for r in sample.where("_toxic = 0").select("_text").limit(ORDINARY_SAMPLE // 8).collect()]
+    plain = [r["_text"].encode() for r in sample.where("_toxic = 0").select("_text").orderBy(
+        F.xxhash64("_text"), "_text").limit(ORDINARY_SAMPLE // 8).collect()]  # the same ones in every run
     base = _train([w for t in plain for w in windows(t, 8)], ORDINARY_BYTES) if plain else b""
     special = b" " + b" ".join(reversed(words)) + b" "
     dictionaries = Dictionaries(special + base, base + b" ")
