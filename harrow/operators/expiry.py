@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.operators.pages import apply_disabled, expired_phrase, jsonld_posting, parse_date, _vget, _vstr
+from harrow.operators.pages import apply_disabled, expired_phrase, one_per_url, parse_date, with_jsonld, _vget, _vstr
 from harrow.operators.scoring import ts_lit
 
 
@@ -27,7 +27,7 @@ def evaluate_expiry(pages: DataFrame, now: dt.datetime, html: str = "html") -> D
     404/410 expire; 5xx never do (transient); then a past JSON-LD validThrough,
     an expiry phrase, or all apply buttons disabled.
     """
-    df = pages.withColumn("__node", jsonld_posting(F.col(html)))
+    df = with_jsonld(pages, html, "__node")
     df = df.withColumn("__exp", parse_date(_vstr(_vget(F.col("__node"), "$.validThrough"))))
     df = df.withColumn("__phrase", expired_phrase(F.col(html))).withColumn("__btn", apply_disabled(F.col(html)))
     status = F.col("status_code")
@@ -43,12 +43,15 @@ def evaluate_expiry(pages: DataFrame, now: dt.datetime, html: str = "html") -> D
 
 
 def mark_expired(catalog: DataFrame, pages: DataFrame, now: dt.datetime, key: str = "ord",
-                 url: str = "url") -> DataFrame:
+                 url: str = "url", order: str | None = None) -> DataFrame:
     """M7: check active catalog rows against their landed page; set
     last_checked_at=now, status='expired' when expired.  Rows without a page
     are 'unfetchable' (checked, not expired).  Page features are computed
-    before the join so html never crosses the shuffle."""
-    checks = evaluate_expiry(pages, now).select(F.col(url).alias("__url"), "is_expired", "reason")
+    before the join so html never crosses the shuffle; of pages landed twice the
+    first by ``order`` counts."""
+    landed = [F.col(order).alias("__landed")] if order else []
+    checks = evaluate_expiry(pages, now).select(F.col(url).alias("__url"), "is_expired", "reason", *landed)
+    checks = one_per_url(checks, "__url", "__landed" if order else None)
     active = F.col("status") == "active"
     j = catalog.join(checks, catalog[url] == F.col("__url"), "left")
     return j.select(

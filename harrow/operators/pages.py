@@ -7,8 +7,12 @@ the pages and the html column is dropped before any shuffle.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from harrow.functions.dictionaries import (
     COLOR_HIGH,
@@ -101,7 +105,16 @@ DATE_FORMATS = (
     "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mmXXX", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm:ss",
     "yyyy-MM-dd",
 )
+# other ways to write a date, tried after the ISO forms; the name of the day and a final zone name are cut off first
+LOOSE_DATE_FORMATS = (
+    "yyyy-MM-dd HH:mm", "yyyyMMdd", "yyyyMMdd'T'HHmmss", "yyyy/M/d", "M/d/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy",
+    "d MMMM yyyy", "d MMM yyyy", "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm:ss XX", "MMM d, yyyy HH:mm:ss", "yyyy-M-d",
+)
+DAY_NAME_RX = r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+"
+ZONE_NAME_RX = r"(?i)\s*\b(?:gmt|utc)$"
+# nesting of lists and @graph that is flattened natively; deeper documents are walked in Python
 FLATTEN_DEPTH = 3
+DEEP = '{"@type":"@deep"}'
 
 
 def _vget(v: Column, path: str, typ: str = "variant") -> Column:
@@ -122,7 +135,8 @@ def _vstr(v: Column) -> Column:
 
 
 def _flat_nodes(v: Column, depth: int) -> Column:
-    """Objects of a JSON-LD value: lists and @graph flattened (``depth`` levels).
+    """Objects of a JSON-LD value: lists and @graph flattened (``depth`` levels);
+    what is nested deeper stands as one DEEP marker.
 
     Each level's type probes are bound once (a one-element transform), so the
     expression grows linearly with depth instead of exponentially.
@@ -134,7 +148,7 @@ def _flat_nodes(v: Column, depth: int) -> Column:
     def level(s):
         own = F.when(s["is_obj"], F.array(s["v"])).otherwise(empty)
         if depth == 0:
-            return F.when(s["graph"].isNull(), own).otherwise(empty)
+            return F.when(s["graph"].isNull() & s["arr"].isNull(), own).otherwise(F.array(F.parse_json(F.lit(DEEP))))
         return (
             F.when(s["arr"].isNotNull(), F.flatten(F.transform(s["arr"], lambda x: _flat_nodes(x, depth - 1))))
             .when(s["is_obj"] & s["graph"].isNotNull(), _flat_nodes(s["graph"], depth - 1))
@@ -152,17 +166,54 @@ def _is_job_posting(n: Column) -> Column:
 
 
 def parse_date(s: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in DATE_FORMATS])
-
-
-def jsonld_posting(html: Column) -> Column:
-    """The first JobPosting node (as VARIANT) over all ld+json blocks, or NULL."""
-    blocks = F.regexp_extract_all(html, F.lit(JSONLD_RX), 1)
-    nodes = F.flatten(F.transform(
-        F.filter(blocks, lambda b: b != ""),
-        lambda b: F.coalesce(_flat_nodes(F.try_parse_json(b), FLATTEN_DEPTH), F.array().cast("array<variant>")),
-    ))
-    return F.try_element_at(F.filter(nodes, _is_job_posting), F.lit(1))
+    """A date in ISO or one of the loose forms (month first where digits leave it open), else NULL."""
+    loose = F.regexp_replace(F.regexp_replace(F.trim(s), DAY_NAME_RX, ""), ZONE_NAME_RX, "")
+    # bound by a one-element array: cut once, and the generated code stays small
+    tried = F.transform(F.array(loose), lambda x: F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in LOOSE_DATE_FORMATS]))
+    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in DATE_FORMATS], F.get(tried, F.lit(0)))
+
+
+@F.pandas_udf(StringType())
+def _walk_blocks(blocks: pd.Series) -> pd.Series:
+    """The first JobPosting of each row's JSON-LD blocks at any depth, as JSON; NULL rows stay NULL."""
+    def first(texts):
+        if texts is None:
+            return None
+        for text in texts:
+            try:
+                waiting = [json.loads(text)]
+            except (ValueError, RecursionError):
+                continue
+            while waiting:
+                node = waiting.pop()
+                if isinstance(node, dict) and "@graph" in node:
+                    node = [node["@graph"]]
+                if isinstance(node, list):
+                    waiting.extend(reversed(node))
+                elif isinstance(node, dict):
+                    kind = node.get("@type")
+                    if "JobPosting" in (kind if isinstance(kind, list) else [kind]):
+                        return json.dumps(node)
+        return None
+    return blocks.map(first)
+
+
+def with_jsonld(df: DataFrame, html: str, out: str) -> DataFrame:
+    """``out``: the first JobPosting node (as VARIANT) over all ld+json blocks, or NULL.
+
+    Lists and @graph are flattened natively up to FLATTEN_DEPTH.  Only documents
+    nested deeper send their blocks to Python, where any depth is walked in the
+    same order; all others travel there as NULL.
+    """
+    df = df.withColumn("__blocks", F.filter(F.regexp_extract_all(F.col(html), F.lit(JSONLD_RX), F.lit(1)), lambda b: b != ""))
+    df = df.withColumn("__nodes", F.flatten(F.transform("__blocks", lambda b: F.coalesce(
+        _flat_nodes(F.try_parse_json(b), FLATTEN_DEPTH), F.array().cast("array<variant>")))))
+    df = df.withColumn("__found", F.struct(
+        F.exists("__nodes", lambda n: F.coalesce(_vstr(_vget(n, '$["@type"]')) == "@deep", F.lit(False))).alias("deep"),
+        F.try_element_at(F.filter("__nodes", _is_job_posting), F.lit(1)).alias("node")))
+    walked = F.try_parse_json(_walk_blocks(F.when(F.col("__found.deep"), F.col("__blocks"))))
+    return (df.withColumn(out, F.when(F.col("__found.deep"), walked).otherwise(F.col("__found.node")))
+              .drop("__blocks", "__nodes", "__found"))
 
 
 def _location(n: Column) -> Column:
@@ -202,7 +253,7 @@ def jsonld_fields(df: DataFrame, node: str = "jsonld") -> DataFrame:
 
 def jsonld_postings(pages: DataFrame, html: str = "html") -> DataFrame:
     """P10: JSON-LD JobPosting fields per page; description cleaned to text."""
-    out = jsonld_fields(pages.withColumn("jsonld", jsonld_posting(F.col(html))))
+    out = jsonld_fields(with_jsonld(pages, html, "jsonld"))
     return (out.withColumn("ld_description", F.when(F.col("ld_found"), html_to_text(F.col("ld_description_html"))))
                .drop("jsonld", "ld_description_html"))
 
@@ -278,19 +329,32 @@ def page_features(pages: DataFrame, html: str = "html") -> DataFrame:
     return df.drop(html)
 
 
+def one_per_url(features: DataFrame, url: str = "url", order: str | None = None) -> DataFrame:
+    """Of pages landed more than once, the first by ``order`` (by their columns without one).
+
+    Runs on features, after html is gone, with map-side aggregation.
+    """
+    rest = [c for c in features.columns if c not in (url, order)]
+    row = F.struct(*rest)
+    first = F.min_by(row, order) if order else F.min(row)
+    return features.groupBy(url).agg(first.alias("__row")).select(url, "__row.*")
+
+
 # -------------------------------------------------------------------------- P12
-def extract_postings(hits: DataFrame, pages: DataFrame, company_domains=()) -> DataFrame:
+def extract_postings(hits: DataFrame, pages: DataFrame, company_domains=(), order: str | None = None) -> DataFrame:
     """One posting per recognised hit.
 
     hits: ord, url, title, snippet.  pages: url, final_url, status_code, html
-    (one row per url).  Hits whose host no platform claims are dropped; hits
-    without a landed page become search-only postings.
+    and, if given, the column ``order`` that decides which landing of a url
+    counts.  Hits whose host no platform claims are dropped; hits without a
+    landed page become search-only postings.
     """
     h = (hits.select("ord", "url", F.col("title").alias("hit_title"), F.col("snippet").alias("hit_snippet"))
              .withColumn("__host", url_host(F.col("url")))
              .withColumn("platform_slug", host_platform_slug(F.col("__host"), company_domains))
              .filter(F.col("platform_slug").isNotNull()).drop("__host"))
-    feats = page_features(pages.select("url", "final_url", "status_code", "html"))
+    columns = ["url", "final_url", "status_code", "html"] + ([F.col(order).alias("__landed")] if order else [])
+    feats = one_per_url(page_features(pages.select(*columns)), "url", "__landed" if order else None)
     j = h.join(feats.withColumn("has_page", F.lit(True)), "url", "left")
     j = with_canonical_url(j, "url", "__canon_hit")
     j = with_canonical_url(j, "final_url", "__canon_final")

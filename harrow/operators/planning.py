@@ -112,17 +112,16 @@ def queries_with_stats(queries: DataFrame, bonus: DataFrame) -> DataFrame:
 
 
 # -------------------------------------------------------------------------- W1
-def select_batch(queries: DataFrame, size: int, rotation: int = 0, group: str | None = None) -> DataFrame:
-    """Per group, the top max(1, size//3) by priority+bonus (hash breaks
+def select_batch(queries: DataFrame, size: int, group: str, rotation: int = 0) -> DataFrame:
+    """Per ``group`` (a guild, a platform), the top max(1, size//3) by priority+bonus (hash breaks
     ties), then a window of the rest starting at (rotation*need) mod len,
     wrapping.  A template set is bounded (platforms x groups x variants), so a
     per-group window is bounded too."""
     if size <= 0:
         return queries.limit(0).withColumn("batch_pos", F.lit(0))
-    keys = [group] if group else []
     eff = F.col("priority") + F.coalesce(F.col("bonus"), F.lit(0.0)) if "bonus" in queries.columns else F.col("priority")
-    w = Window.partitionBy(*keys).orderBy(F.desc("__eff"), F.asc("query_hash"))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    w = Window.partitionBy(group).orderBy(F.desc("__eff"), F.asc("query_hash"))
+    n = F.count(F.lit(1)).over(Window.partitionBy(group))
     df = queries.withColumn("__eff", eff).withColumn("__rn", F.row_number().over(w)).withColumn("__n", n)
     reserved = max(1, size // 3)
     top_n = F.least(F.lit(reserved), F.col("__n"))
@@ -153,6 +152,19 @@ def new_queries(runs: DataFrame, known: DataFrame) -> DataFrame:
     return runs.select("query_hash").distinct().join(known.select("query_hash"), "query_hash", "left_anti")
 
 
+def upsert_queries(known: DataFrame, runs: DataFrame) -> DataFrame:
+    """Q4: known query counters plus those of new runs; unseen queries are inserted.
+
+    One aggregation over both, so a query with a third of all runs is reduced
+    before the shuffle.  Both sides hold query_hash; ``known`` the A3 counters,
+    ``runs`` result_count, relevant_count and run_ts.
+    """
+    added = query_yield(runs)
+    return known.select(*added.columns).unionByName(added).groupBy("query_hash").agg(
+        F.sum("times_run").alias("times_run"), F.sum("total_results").alias("total_results"),
+        F.sum("relevant_results").alias("relevant_results"), F.max("last_run_at").alias("last_run_at"))
+
+
 # -------------------------------------------------------------------------- S1
 _ITEM = T.StructType([T.StructField(n, T.StringType()) for n in
                       ("link", "url", "title", "name", "snippet", "description")]
@@ -220,21 +232,21 @@ def resolve_provider(responses: DataFrame, provider_order=("serper", "bing", "br
 
 # -------------------------------------------------------------------------- S3
 def admit_requests(requests: DataFrame, hourly: int, daily: int, ts: str = "ts", ok: str = "succeeded",
-                   key: str = "request_id", split_hot: bool | None = None) -> DataFrame:
+                   key: str = "request_id", split_hot: bool = False) -> DataFrame:
     """S3: budget decision per request in arrival order.
 
     Hour check precedes day check; only admitted, successful calls use budget.
     Successes are ranked within their hour, the first ``hourly`` of them are
     ranked within the day, and the first ``daily`` of those are recorded; the
     running count of recorded calls then gives every request its outcome.
-    All ranks are running counts of a segmented scan over (day, ts, key), so a
-    day or hour holding most of the log is still spread over many tasks.
+    The ranks are windows per hour and day.  A log whose single days are too
+    large for one task asks for ``split_hot``: the ranks are then running counts
+    of a segmented scan over (day, ts, key), which spreads a day over many tasks
+    at the price of several passes.
     """
     from harrow.operators import segmented as G
 
     df = requests.withColumn("__day", F.to_date(F.col(ts))).withColumn("__hour", F.date_trunc("hour", F.col(ts)))
-    if split_hot is None:
-        split_hot = G.needs_split(df, "__day")
     if not split_hot:
         return _admit_requests_window(df, hourly, daily, ts, ok, key)
     df = G.sort_and_index(df, "__day", [ts, key])
@@ -253,7 +265,7 @@ def admit_requests(requests: DataFrame, hourly: int, daily: int, ts: str = "ts",
 
 
 def _admit_requests_window(df: DataFrame, hourly: int, daily: int, ts: str, ok: str, key: str) -> DataFrame:
-    """S3 with windows per hour/day (every day is known to fit one task)."""
+    """S3 with windows per hour and day."""
     order = [F.col(ts), F.col(key)]
     succ = F.coalesce(F.col(ok), F.lit(False))
     by_hour = Window.partitionBy("__hour").orderBy(*order)

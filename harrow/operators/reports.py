@@ -33,8 +33,22 @@ def top_companies(catalog: DataFrame, k: int = 20) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc("company")).limit(k))
 
 
-def scan_report(hits: DataFrame, run: str = "run_id") -> DataFrame:
-    """A5: per scan run, queries run, results found, new and posted jobs."""
+def scan_report(hits: DataFrame, run: str = "run_id", runs: DataFrame | None = None) -> DataFrame:
+    """A5: per scan run, queries run, results found, new and posted jobs.
+
+    ``runs`` (run, error) lists every started run: one with an error is
+    ``failed``, also when it left no hits; without it all runs are completed.
+    """
+    found = _scan_counts(hits, run)
+    if runs is None:
+        return found
+    counts = ("queries_run", "results_found", "jobs_new", "jobs_posted")
+    return runs.join(found.drop("status"), run, "left").select(
+        run, *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
+        F.when(F.col("error").isNotNull(), F.lit("failed")).otherwise(F.lit("completed")).alias("status"))
+
+
+def _scan_counts(hits: DataFrame, run: str) -> DataFrame:
     return hits.groupBy(run).agg(
         F.count_distinct("query_hash").alias("queries_run"),
         F.count(F.lit(1)).alias("results_found"),
@@ -54,7 +68,9 @@ def fold_feedback(feedback: DataFrame, catalog: DataFrame, key: str = "job_id")
     )
     j = catalog.join(votes, key, "left")
     n = F.coalesce(F.col("n_irrelevant"), F.lit(0))
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.col("score"),
+    # once the score is 0 it stays 0, so no more steps than that are needed
+    steps = F.least(n, F.ceil(F.greatest(F.col("score"), F.lit(0.0)) / F.lit(IRRELEVANT_PENALTY)) + 1)
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), F.col("score"),
                          lambda acc, _x: F.greatest(F.lit(0.0), acc - F.lit(IRRELEVANT_PENALTY)))
     return (j.withColumn("score", F.when(n > 0, folded).otherwise(F.col("score")))
              .withColumn("status", F.when(F.coalesce(F.col("has_duplicate"), F.lit(False)), F.lit("closed"))
@@ -152,8 +168,8 @@ def saved_list(saved: DataFrame, catalog: DataFrame, user_id: int, k: int = PEND
 
 
 def with_children(catalog: DataFrame, children: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """Catalog rows with one child column collected (sorted) per job."""
-    kids = children.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias(out))
+    """Catalog rows with the distinct values of one child column (sorted) per job."""
+    kids = children.groupBy(key).agg(F.sort_array(F.collect_set(value)).alias(out))
     return catalog.join(kids, key, "left").withColumn(
         out, F.coalesce(F.col(out), F.array().cast("array<string>")))
 

@@ -17,6 +17,7 @@ from harrow.plans.registry import register
 from harrow.plans.sqltext import normalize_company_sql
 from harrow.plans.suite_dedup import keyed_postings
 from harrow.plans.suite_pages import _LD_BLOCK, landed_job_pages
+from harrow.session import reliable_checkpoint
 from harrow.sources.tables import read_table
 
 POSTINGS_NOW = dt.datetime(1998, 6, 15)
@@ -87,7 +88,7 @@ FROM d_catalog c LEFT JOIN ev ON ev.url = c.url""", "d_catalog", "d_job_pages"))
 def m7(spark, sf):
     cat = derived(spark, sf, "d_catalog").select("ord", "url", "status", "last_checked_at")
     pages = landed_job_pages(spark, sf)
-    return X.mark_expired(cat, pages, PAGES_NOW).select("ord", "status", "last_checked_at", "check_reason")
+    return X.mark_expired(cat, pages, PAGES_NOW, order="ord").select("ord", "status", "last_checked_at", "check_reason")
 
 
 _TOUCH_SQL = """t AS (SELECT user_id AS job_id, event_id AS ord, event_type AS content_hash,
@@ -118,12 +119,21 @@ def w6(spark, sf):
     return versions
 
 
-@register("m2_merge_touch", "WITH " + _TOUCH_SQL + """
-SELECT job_id, arg_max(content_hash, ord) AS content_hash, arg_max(cur_title, ord) AS title,
-  arg_max(cur_description, ord) AS description, max(ord) AS last_ord FROM d GROUP BY job_id""")
+@register("m2_merge_touch", "WITH " + _TOUCH_SQL + """,
+f AS (SELECT job_id, arg_max(content_hash, ord) AS content_hash, arg_max(cur_title, ord) AS title,
+  arg_max(cur_description, ord) AS description FROM d GROUP BY job_id),
+seen AS (SELECT user_id AS job_id, max(ts) AS last_seen_at FROM events GROUP BY user_id)
+SELECT c_custkey AS job_id, c_name AS company, coalesce(f.content_hash, c_mktsegment) AS content_hash, coalesce(f.title, 'old') AS title,
+  coalesce(f.description, 'old') AS description, greatest(seen.last_seen_at, TIMESTAMP '2000-01-01') AS last_seen_at
+FROM customer LEFT JOIN f ON f.job_id = c_custkey LEFT JOIN seen ON seen.job_id = c_custkey""")
 def m2(spark, sf):
+    """Customers as catalog rows; some are touched by events, the others stay as they are."""
     _, final = M.version_chain(touches(spark, sf))
-    return final
+    seen = read_table(spark, sf, "events").groupBy(F.col("user_id").alias("job_id")).agg(F.max("ts").alias("last_seen_at"))
+    catalog = read_table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("job_id"), F.col("c_name").alias("company"), F.col("c_mktsegment").alias("content_hash"),
+        F.lit("old").alias("title"), F.lit("old").alias("description"), F.lit("2000-01-01").cast("timestamp").alias("last_seen_at"))
+    return M.merge_touch(catalog, final.join(seen, "job_id"), key="job_id")
 
 
 @register("w6b_touch_count", "WITH " + _TOUCH_SQL + """
@@ -135,25 +145,53 @@ def w6b(spark, sf):
     return t.join(v, "job_id", "left").select("job_id", F.coalesce("versions", F.lit(0)).cast("bigint").alias("versions"), "touches")
 
 
-@register("m1_merge_new")
+def _gated_sql():
+    from harrow.plans.suite_dedup import _KEYED
+    from harrow.plans.suite_text import _score_oracle
+    return f"""WITH {_KEYED}, sc AS ({_score_oracle('d_postings', '1998-06-15 00:00:00')}),
+g AS (SELECT base.ord, base.dk AS dedup_key, base.canonical_url, p.url, p.title, p.company, p.platform_slug, sc.score, p.is_expired, sc.categories
+  FROM base JOIN sc ON sc.ord = base.ord JOIN d_postings p ON p.ord = base.ord WHERE sc.passes_gate)"""
+
+
+def gated_batch(spark, sf, *columns):
+    """The gated postings, scored once."""
+    scored = scored_batch(spark, sf).select("ord", "dedup_key", "platform_slug", "passes_gate", *columns)
+    return S.gate(reliable_checkpoint(scored))
+
+
+_IN_CATALOG = "platform_slug = 'company' AND ord % 2 = 0"
+
+
+@register("m1_merge_new", with_views(_gated_sql() + f""",
+cat AS (SELECT * FROM g WHERE {_IN_CATALOG} QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY ord) = 1),
+new AS (SELECT * FROM g WHERE dedup_key NOT IN (SELECT dedup_key FROM cat) QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY ord) = 1)
+SELECT ord, dedup_key, canonical_url, url, title, company, score, 'active' AS status FROM cat UNION ALL
+SELECT ord, dedup_key, coalesce(nullif(canonical_url, ''), url), url, coalesce(nullif(title, ''), '(untitled)'), company, score,
+  CASE WHEN coalesce(is_expired, false) THEN 'expired' ELSE 'active' END FROM new""", "d_postings"))
 def m1(spark, sf):
-    scored = scored_batch(spark, sf)
-    # existing catalog: the gated company-site postings; the batch adds the rest
-    cols = ["dedup_key", "canonical_url", "url", "title", "company", "score", "is_expired"]
-    catalog = S.gate(scored).filter(F.col("platform_slug") == "company").select(*cols).withColumn("status", F.lit("active"))
-    return M.merge_new(catalog.drop("is_expired"), S.gate(scored).select(*cols))
+    """Half of the company-site postings are in the catalog; the batch repeats them and adds the rest."""
+    cols = ["canonical_url", "url", "title", "company", "score"]
+    batch = gated_batch(spark, sf, *cols, "is_expired")
+    old = batch.filter(_IN_CATALOG).groupBy("dedup_key").agg(F.min_by(F.struct("ord", *cols), "ord").alias("x"))
+    catalog = old.select("dedup_key", "x.*").withColumn("status", F.lit("active"))
+    return M.merge_new(catalog, batch.select("ord", "dedup_key", *cols, "is_expired"))
+
 
+_SOURCES = """SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS job_key, url AS raw_url,
+  arg_min(query_hash, ord) AS query_hash, arg_min(provider, ord) AS provider, min(ord) AS first_ord FROM d_hits"""
 
-@register("m3_merge_sources", with_views("""
-SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS job_key, url AS raw_url,
-  arg_min(query_hash, ord) AS query_hash, arg_min(provider, ord) AS provider, min(ord) AS first_ord
-FROM d_hits GROUP BY ALL""", "d_hits"))
+
+@register("m3_merge_sources", with_views(f"""
+WITH old AS ({_SOURCES} WHERE ord % 3 = 1 GROUP BY ALL), new AS ({_SOURCES} GROUP BY ALL)
+SELECT * FROM old UNION ALL SELECT new.* FROM new ANTI JOIN old ON new.job_key = old.job_key AND new.raw_url = old.raw_url""", "d_hits"))
 def m3(spark, sf):
-    h = derived(spark, sf, "d_hits")
+    """A third of the hits have been merged before."""
     from harrow.functions.urls import url_host
+
+    h = derived(spark, sf, "d_hits")
     hits = h.select(url_host(F.col("url")).alias("job_key"), F.col("url").alias("raw_url"), "query_hash", "provider", "ord")
     empty = spark.createDataFrame([], "job_key string, raw_url string, query_hash string, provider string, first_ord bigint")
-    return M.merge_sources(empty, hits)
+    return M.merge_sources(M.merge_sources(empty, hits.filter("ord % 3 = 1")), hits)
 
 
 @register("m5_merge_saved", """
@@ -178,22 +216,18 @@ def s7(spark, sf):
 
 @register("m6_stream_catalog")
 def m6(spark, sf):
-    """The scan stream over the postings landed as several files; returns the final catalog."""
+    """The scan stream over postings that land twice; returns the final catalog."""
     import uuid
 
     from harrow.session import checkpoint_dir
     from harrow.streaming.catalog_stream import stream_catalog
     root = f"{checkpoint_dir(spark).rstrip('/')}/m6-{uuid.uuid4().hex}"
-    src = f"{root}/landed"
     posts = derived(spark, sf, "d_postings")
-    # two arrival files in ord order, written one after the other
     mid = posts.agg(F.percentile_approx("ord", 0.5)).first()[0]
-    posts.filter(F.col("ord") <= mid).coalesce(1).write.parquet(f"{src}/a")
-    posts.filter(F.col("ord") > mid).coalesce(1).write.parquet(f"{src}/b")
-    schema = spark.read.parquet(f"{src}/a").schema
-    src = f"{src}/*"
-    catalog_root = stream_catalog(spark, src, schema, root, POSTINGS_NOW)
-    return M.read_snapshot(spark, catalog_root, "catalog").select("dedup_key", "ord", "title", "score", "status")
+    for name, part in (("a", F.col("ord") <= mid), ("b", F.col("ord") > mid)):
+        posts.filter(part).write.parquet(f"{root}/landed/{name}")
+        catalog_root = stream_catalog(spark, f"{root}/landed/*", posts.schema, root, POSTINGS_NOW)
+    return M.read_run(spark, catalog_root, "catalog").select("dedup_key", "ord", "title", "score", "status")
 
 
 @register("s5_join_pages", with_views("""
@@ -203,7 +237,7 @@ FROM d_postings h LEFT JOIN pg ON pg.url = h.url""", "d_postings", "d_job_pages"
 def s5(spark, sf):
     from harrow.sources.pages import join_pages
     hits = derived(spark, sf, "d_postings").select("ord", "url")
-    return join_pages(hits, landed_job_pages(spark, sf)).select("ord", "url", "has_page", "final_url", "status_code")
+    return join_pages(hits, landed_job_pages(spark, sf), order="ord").select("ord", "url", "has_page", "final_url", "status_code")
 
 
 @register("s6_snapshot_roundtrip", with_views(
@@ -220,19 +254,14 @@ def s6(spark, sf):
     return M.read_snapshot(spark, root, "catalog").select("ord", "dedup_key", "status", "score")
 
 
-def _m4_oracle():
-    from harrow.plans.suite_dedup import _KEYED
-    from harrow.plans.suite_text import _score_oracle
-    return with_views(f"""WITH {_KEYED}, sc AS ({_score_oracle('d_postings', '1998-06-15 00:00:00')})
-SELECT DISTINCT base.dk AS dedup_key, unnest(string_split(sc.categories, ',')) AS category
-FROM sc JOIN base ON base.ord = sc.ord WHERE sc.passes_gate AND sc.categories <> ''""", "d_postings")
-
-
-@register("m4_merge_categories", _m4_oracle())
+@register("m4_merge_categories", with_views(_gated_sql() + """
+SELECT DISTINCT dedup_key, unnest(string_split(categories, ',')) AS category FROM g WHERE categories <> ''
+UNION ALL SELECT 'gone', 'backend'""", "d_postings"))
 def m4(spark, sf):
-    scored = S.gate(scored_batch(spark, sf))
-    empty = spark.createDataFrame([], "dedup_key string, category string")
-    return M.merge_categories(empty, scored)
+    """Categories of every second posting, and one of a job that is gone, are there already."""
+    scored = gated_batch(spark, sf, "categories")
+    gone = spark.createDataFrame([("gone", "backend")], "dedup_key string, category string")
+    return M.merge_categories(M.merge_categories(gone, scored.filter("ord % 2 = 0")), scored)
 
 
 @register("m5b_merge_ignored", with_views(f"""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from harrow.operators import pages as P
@@ -90,10 +89,8 @@ def p11(spark, sf):
 
 
 def landed_job_pages(spark, sf):
-    """Test pages for P12: d_job_pages minus every tenth row, lowest ord per URL."""
-    jp = derived(spark, sf, "d_job_pages").filter(F.col("ord") % 10 != 9)
-    w = Window.partitionBy("url").orderBy("ord")
-    return jp.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn", "ord")
+    """Test pages for P12: d_job_pages minus every tenth row; a URL may have landed more than once."""
+    return derived(spark, sf, "d_job_pages").filter(F.col("ord") % 10 != 9)
 
 
 _P12_SQL = with_views(f"""
@@ -124,7 +121,7 @@ FROM j""", "d_postings", "d_job_pages")
 @register("p12_extract_postings", _P12_SQL)
 def p12(spark, sf):
     hits = derived(spark, sf, "d_postings").select("ord", "url", "title", F.col("description").alias("snippet"))
-    return P.extract_postings(hits, landed_job_pages(spark, sf), company_domains=COMPANY_DOMAINS)
+    return P.extract_postings(hits, landed_job_pages(spark, sf), company_domains=COMPANY_DOMAINS, order="ord")
 
 
 @register("p13_academic_terms", with_views("""

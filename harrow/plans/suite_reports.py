@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from harrow.functions import dictionaries as _D
@@ -226,10 +225,11 @@ bonus AS (SELECT query_hash, least(1.0, coalesce(relevant_results, 0) / times_ru
 
 
 def _runs(spark, sf):
-    q = derived(spark, sf, "d_queries").select("text")
-    q = q.withColumn("qn", F.row_number().over(Window.orderBy("text")))
+    # the templates (platforms x groups x variants) are numbered in text order
+    q = derived(spark, sf, "d_queries").agg(F.array_sort(F.collect_list("text")).alias("texts"))
+    q = q.select(F.posexplode("texts").alias("qn", "text"))
     e = read_table(spark, sf, "events")
-    return e.join(q, q["qn"] == e["user_id"] + 1).select(
+    return e.join(q, q["qn"] == e["user_id"]).select(
         sha32(F.col("text")).alias("query_hash"), F.col("ts").alias("run_ts"),
         F.floor("value").cast("bigint").alias("result_count"),
         F.when(F.col("event_type").isin("click", "purchase"), 1).otherwise(0).alias("relevant_count"))
@@ -267,13 +267,14 @@ def j7(spark, sf):
 
 
 @register("w1_select_batch", with_views("WITH " + _RUNS_SQL.strip() + ", " + _QWS_SQL + """,
-r AS (SELECT *, row_number() OVER (ORDER BY priority + bonus DESC, query_hash2) AS rn, count(*) OVER () AS n FROM qws),
-p AS (SELECT *, least(13, n) AS top_n, n - least(13, n) AS rest_len, 40 - least(13, n) AS need FROM r),
+r AS (SELECT *, row_number() OVER (PARTITION BY platform_slug ORDER BY priority + bonus DESC, query_hash2) AS rn,
+  count(*) OVER (PARTITION BY platform_slug) AS n FROM qws),
+p AS (SELECT *, least(4, n) AS top_n, n - least(4, n) AS rest_len, 12 - least(4, n) AS need FROM r),
 o AS (SELECT *, (3 * need) % greatest(rest_len, 1) AS start FROM p)
 SELECT text, query_hash2 AS query_hash, CASE WHEN rn <= top_n THEN rn ELSE top_n + ((rn - top_n - 1 - start) % greatest(rest_len, 1) + greatest(rest_len, 1)) % greatest(rest_len, 1) + 1 END AS batch_pos
 FROM o WHERE rn <= top_n OR ((rn - top_n - 1 - start) % greatest(rest_len, 1) + greatest(rest_len, 1)) % greatest(rest_len, 1) < least(need, rest_len)""", "d_queries"))
 def w1(spark, sf):
-    return Q.select_batch(_queries_with_stats(spark, sf), 40, rotation=3).select("text", "query_hash", "batch_pos")
+    return Q.select_batch(_queries_with_stats(spark, sf), 12, "platform_slug", rotation=3).select("text", "query_hash", "batch_pos")
 
 
 @register("q4_query_runs", with_views("""

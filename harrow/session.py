@@ -3,25 +3,31 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
+# Initial shuffle partitions on a cluster; adaptive execution merges small ones.
+CLUSTER_SHUFFLE_PARTITIONS = 4000
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "harrow") -> SparkSession:
     """A session configured the way every operator here expects.
 
     UTC session time zone (reference timestamps are naive UTC), AQE with skew
-    join handling, and Arrow for the few vectorized UDFs.
+    join handling, and Arrow for the few vectorized UDFs.  On one machine
+    (``local[...]``) shuffles get a partition per core, on a cluster many that
+    AQE coalesces.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    cores = os.cpu_count() or 8
+    if not shuffle_partitions:
+        local = (master or "").startswith("local[")
+        shuffle_partitions = (os.cpu_count() or 8) if local else CLUSTER_SHUFFLE_PARTITIONS
     builder = (
         builder
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
+        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -36,23 +42,19 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
+    """The shared checkpoint folder: ``spark.checkpoint.dir``, or the one set on the context.
 
-    Only when the session has none (local tests) do we create our own under the
-    system temp folder; on a cluster the setting is always provided.
+    Executors may run anywhere, so no folder of this machine is made up: without
+    a setting this raises.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
-    if current:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(current)
-        return current
-    if sc.getCheckpointDir() is not None:
-        return sc.getCheckpointDir()
-    path = tempfile.mkdtemp(prefix="harrow-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    sc.setCheckpointDir(path)
-    return path
+    current = spark.conf.get("spark.checkpoint.dir", None)
+    if current and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
+    current = current or sc.getCheckpointDir()
+    if not current:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return current
 
 
 def reliable_checkpoint(df):

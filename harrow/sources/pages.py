@@ -14,9 +14,12 @@ def load_pages(spark, path: str, fmt: str = "parquet") -> DataFrame:
     return reader.load(path)
 
 
-def join_pages(hits: DataFrame, pages: DataFrame) -> DataFrame:
+def join_pages(hits: DataFrame, pages: DataFrame, order: str | None = None) -> DataFrame:
     """Left join hits to landed pages on the raw URL; hits without a page keep
-    NULL page columns (they fall back to search-only extraction)."""
-    p = pages.select("url", "final_url", "status_code").withColumn("has_page", F.lit(True))
+    NULL page columns (they fall back to search-only extraction).  Of pages
+    landed twice the first by ``order`` counts."""
+    row = F.struct("final_url", "status_code")
+    first = F.min_by(row, order) if order else F.min(row)
+    p = pages.groupBy("url").agg(first.alias("__page")).select("url", "__page.*").withColumn("has_page", F.lit(True))
     return (hits.join(p, "url", "left")
                 .withColumn("has_page", F.coalesce(F.col("has_page"), F.lit(False))))

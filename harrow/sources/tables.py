@@ -30,21 +30,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         else F.col(f.name)
         for f in df.schema.fields
     ]
-    return spread(df.select(*casts))
+    return over_cores(df.select(*casts))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a small input over all cores.
+def over_cores(df: DataFrame) -> DataFrame:
+    """On one machine (``local[...]``) deal the rows out over its cores; on a cluster the scan's own splits stay.
 
-    A single-row-group parquet file scans as one partition, which would run a
-    CPU-heavy per-row operator on one core.  Only inputs with fewer partitions
-    than the default parallelism are redistributed; a cluster-sized scan
-    already has thousands of splits and passes through unchanged.
+    A file with a single row group scans as one task, which would run all
+    per-row work on one core.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    context = df.sparkSession.sparkContext
+    return df.repartition(context.defaultParallelism) if context.master.startswith("local[") else df
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:

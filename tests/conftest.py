@@ -15,6 +15,5 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     s = build_session("local[4]", 4, app_name="harrow-tests")
     if not s.conf.get("spark.checkpoint.dir", None):
-        path = tempfile.mkdtemp(prefix="harrow-test-ckpt-")
-        s.conf.set("spark.checkpoint.dir", path)
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="harrow-test-ckpt-"))
     yield s

@@ -1,16 +1,17 @@
 """Catalog maintenance invariants and the streaming scan."""
 
 import datetime as dt
-import os
-import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from harrow.operators import catalog as M
+from harrow.operators import planning as Q
+from harrow.operators import reports as R
 from harrow.operators import scoring as S
 from harrow.plans.fixtures import derived
 from harrow.plans.suite_catalog import scored_batch
-from harrow.streaming.catalog_stream import CATALOG_COLUMNS, process_batch, stream_catalog
+from harrow.streaming.catalog_stream import process_batch, stream_catalog
 from tests.conftest import SF_SMALL
 
 NOW = dt.datetime(1998, 6, 15)
@@ -48,19 +49,69 @@ def test_version_chain_counts_a_b_a_as_two(spark):
     assert (f["content_hash"], f["title"], f["description"]) == ("A", "t3", "d2")
 
 
-def test_stream_equals_batch(spark):
-    root = tempfile.mkdtemp(prefix="harrow-stream-")
-    src = os.path.join(root, "landed")
+def _land(posts, root, name, part):
+    posts.filter(part).write.parquet(f"{root}/landed/{name}")
+
+
+def _catalog(spark, root):
+    return {tuple(r) for r in M.read_run(spark, root, "catalog").select("dedup_key", "ord").collect()}
+
+
+@pytest.mark.parametrize("scheme", ["", "file:"])
+def test_stream_equals_batch(spark, tmp_path, scheme):
+    root = f"{scheme}{tmp_path}"
     posts = derived(spark, SF_SMALL, "d_postings")
-    mid = posts.agg(F.percentile_approx("ord", 0.5)).first()[0]
-    posts.filter(F.col("ord") <= mid).coalesce(1).write.parquet(f"{src}/a")
-    posts.filter(F.col("ord") > mid).coalesce(1).write.parquet(f"{src}/b")
-    schema = spark.read.parquet(f"{src}/a").schema
-    cat_root = stream_catalog(spark, f"{src}/*", schema, root, NOW)
-    streamed = {tuple(r) for r in M.read_snapshot(spark, cat_root, "catalog").select("dedup_key", "ord").collect()}
-    batch = {tuple(r) for r in process_batch(spark, posts, None, NOW).select("dedup_key", "ord").collect()}
-    assert streamed == batch and len(batch) > 0
+    for name, part in (("a", F.col("ord") <= 700), ("b", F.col("ord") > 700)):
+        _land(posts, root, name, part)
+        cat_root = stream_catalog(spark, f"{root}/landed/*", posts.schema, root, NOW)
+    streamed = _catalog(spark, cat_root)
+    merged, categories = process_batch(spark, posts, None, None, NOW)
+    assert streamed == {tuple(r) for r in merged.select("dedup_key", "ord").collect()} and len(streamed) > 0
+    assert {tuple(r) for r in M.read_run(spark, cat_root, "categories").collect()} == {tuple(r) for r in categories.collect()}
     # a restart finds nothing new and leaves the catalog as it is
-    stream_catalog(spark, f"{src}/*", schema, root, NOW)
-    again = {tuple(r) for r in M.read_snapshot(spark, cat_root, "catalog").select("dedup_key", "ord").collect()}
-    assert again == streamed
+    stream_catalog(spark, f"{root}/landed/*", posts.schema, root, NOW)
+    assert _catalog(spark, cat_root) == streamed
+
+
+def test_a_batch_that_stops_before_its_commit_is_done_again(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    posts = derived(spark, SF_SMALL, "d_postings").filter("ord < 300")
+    _land(posts, root, "a", F.col("ord") <= 150)
+    cat_root = stream_catalog(spark, f"{root}/landed/*", posts.schema, root, NOW)
+    first = _catalog(spark, cat_root)
+    _land(posts, root, "b", F.col("ord") > 150)
+    whole = M.write_run
+
+    def stops(tables, path, run_id):
+        tables["catalog"].write.mode("overwrite").parquet(f"{path}/run={run_id}/catalog")
+        raise RuntimeError("stopped")
+    monkeypatch.setattr(M, "write_run", stops)
+    with pytest.raises(Exception, match="stopped"):
+        stream_catalog(spark, f"{root}/landed/*", posts.schema, root, NOW)
+    assert _catalog(spark, cat_root) == first
+    monkeypatch.setattr(M, "write_run", whole)
+    stream_catalog(spark, f"{root}/landed/*", posts.schema, root, NOW)
+    merged, _ = process_batch(spark, posts, None, None, NOW)
+    assert _catalog(spark, cat_root) == {tuple(r) for r in merged.select("dedup_key", "ord").collect()} != first
+
+
+def test_insert_keeps_one_row_per_key(spark):
+    catalog = spark.createDataFrame([("a", 1, "u", "u", "t", "active")], "dedup_key string, ord long, canonical_url string, url string, title string, status string")
+    batch = spark.createDataFrame([("b", 5, "", "u5", "late", False), ("b", 3, "", "u3", "", False), ("a", 2, "", "u2", "x", True)],
+                                  "dedup_key string, ord long, canonical_url string, url string, title string, is_expired boolean")
+    rows = sorted(tuple(r) for r in M.merge_new(catalog, batch).collect())
+    assert rows == [("a", 1, "u", "u", "t", "active"), ("b", 3, "u3", "u3", "(untitled)", "active")]
+
+
+def test_outbox_by_guild_and_query_upsert(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "x"), (2, "y")], "guild_id long, ord string")
+    M.outbox_by_guild(rows, str(tmp_path / "out"))
+    assert {(r["guild_id"], r["ord"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, "x"), (2, "y")}
+    runs = spark.createDataFrame([("q", 3, 1, dt.datetime(2024, 1, 2)), ("r", 1, 0, dt.datetime(2024, 1, 3))],
+                                 "query_hash string, result_count long, relevant_count long, run_ts timestamp")
+    once = Q.upsert_queries(Q.query_yield(runs.filter("false")), runs)
+    twice = {r["query_hash"]: (r["times_run"], r["total_results"]) for r in Q.upsert_queries(once, runs.filter("query_hash = 'q'")).collect()}
+    assert twice == {"q": (2, 6), "r": (1, 1)}
+    report = R.scan_report(spark.createDataFrame([(1, "q", True, False)], "run_id long, query_hash string, is_new boolean, is_posted boolean"),
+                           runs=spark.createDataFrame([(1, None), (2, "timeout")], "run_id long, error string"))
+    assert {(r["run_id"], r["results_found"], r["status"]) for r in report.collect()} == {(1, 1, "completed"), (2, 0, "failed")}

@@ -32,11 +32,11 @@ def test_site_filter_and_quoting(spark):
 
 def test_batch_rotation_covers_all(spark):
     qs = Q.build_queries(default_config(spark))
-    b0 = {r["query_hash"] for r in Q.select_batch(qs, 10, rotation=0).collect()}
-    b1 = {r["query_hash"] for r in Q.select_batch(qs, 10, rotation=1).collect()}
+    b0 = {r["query_hash"] for r in Q.select_batch(qs, 10, "guild_id", rotation=0).collect()}
+    b1 = {r["query_hash"] for r in Q.select_batch(qs, 10, "guild_id", rotation=1).collect()}
     assert len(b0) == 10 and b0 != b1
     # the rest (570 - 3) is covered in ceil(567 / 7) rotations
     seen = set()
     for rot in range(81):
-        seen |= {r["query_hash"] for r in Q.select_batch(qs, 10, rotation=rot).collect()}
+        seen |= {r["query_hash"] for r in Q.select_batch(qs, 10, "guild_id", rotation=rot).collect()}
     assert len(seen) == 570
