@@ -66,16 +66,15 @@ def poisson_table(rate: Column) -> Column:
     return F.when(rate > 0, table).otherwise(F.array(F.lit(1.0)))
 
 
-def repetitions(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, default_weight: float = 1.0,
-                epochs: float = 1.0, seed: str = SEED, doc_id: str = "doc_id", text: str = "text",
-                source: str = "source") -> DataFrame:
-    """``docs`` plus ``_rate`` and ``_n``, the number of copies of each row; rows with no copies are still there."""
-    rates = source_rates(docs, weights, default_weight, epochs, source, text).select(
-        F.col("source").alias("_source"), F.col("rate").alias("_rate"), poisson_table(F.col("rate")).alias("_cdf"))
-    u = unit_hash(F.lit(seed), F.col(doc_id), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
-    n = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    return (docs.join(rates, F.col(source).eqNullSafe(F.col("_source")))
-                .withColumn("_u", u).withColumn("_n", n).drop("_source", "_cdf", "_u"))
+def copy_numbers(u: Column, cdf: Column) -> Column:
+    """Array of 0, 1, ... with as many entries as terms of ``cdf`` are <= ``u``.
+
+    ``u`` is bound by a one-element array: inside the filter it would be hashed again for every term.
+    """
+    def numbers(v: Column) -> Column:
+        n = F.size(F.filter(cdf, lambda c: c <= v))
+        return F.slice(F.sequence(F.lit(0), n), F.lit(1), n)
+    return F.flatten(F.transform(F.array(u), numbers))
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, default_weight: float = 1.0, epochs: float = 1.0,
@@ -92,8 +91,12 @@ def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, default_weight:
     The only shuffle of texts deals the copies out by their uniform key and sorts
     each partition by it: a random order of the whole, without a sampling pass.
     """
-    out = repetitions(docs.drop("copy", "shuffle_key"), weights, default_weight, epochs, seed, doc_id, text, source)
-    out = out.where(F.col("_n") > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    docs = docs.drop("copy", "shuffle_key")
+    rates = source_rates(docs, weights, default_weight, epochs, source, text).select(
+        F.col("source").alias("__mix_source"), poisson_table(F.col("rate")).alias("__mix_cdf"))
+    u = unit_hash(F.lit(seed), F.col(doc_id), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    out = docs.join(rates, F.col(source).eqNullSafe(F.col("__mix_source")))
+    out = out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(copy_numbers(u, F.col("__mix_cdf"))).alias("copy"))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")),
                             F.col("copy").cast("string")).cast("binary"))
-    return out.withColumn("shuffle_key", key).drop("_n", "_rate").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return out.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
