@@ -90,17 +90,17 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.pmod(crc_of(doc_id), F.lit(modulus)) == remainder
 
 
-def sample_fraction(df: DataFrame, group: str, target: int, key: Column) -> DataFrame:
+def sample_fraction(df: DataFrame, group: str, target: int | Column, key: Column) -> DataFrame:
     """About ``target`` rows of each group (null groups are left out), chosen by a hash of ``key``.
 
-    The group sizes come from one aggregation over all rows; each group then
-    keeps the rows whose hash lies below target / size, so no group is ever
-    sorted or collected.
+    The group sizes come from one aggregation over all rows, written once so
+    that Spark knows how small they are before it plans the join; each group
+    then keeps the rows whose hash lies below target / size, so no group is
+    ever sorted or collected.
     """
-    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("_size"))
+    sizes = materialize(df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("_size")))
     unit = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return (df.withColumn("_unit", unit).join(sizes, group)
-              .where(F.col("_unit") * F.col("_size") < target).drop("_unit", "_size"))
+    return df.join(sizes, group).where(unit * F.col("_size") < target).drop("_size")
 
 
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:

@@ -33,8 +33,7 @@ def toxicity_model(spark, sf_dir):
     """Fitted on labelled documents outside the held-out quarter; ids only join labels and decide the split and the sample."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    train = ~held_out(F.col("doc_id"), 4, 2)
-    return toxicity.fit(docs.where(train).join(labels.where(train), "doc_id"))
+    return toxicity.fit(docs, labels.where(~held_out(F.col("doc_id"), 4, 2)))
 
 
 def op5_toxicity(spark, sf_dir):

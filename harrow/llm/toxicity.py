@@ -151,20 +151,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(max(beta[0], 0.0)), float(beta[1])
 
 
-def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id") -> Classifier:
-    """Fit on labelled documents: ``toxic`` 1 or 0 (other rows are left out), ``key`` only decides which rows are sampled.
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id") -> Classifier:
+    """Fit on the documents that ``labels`` marks with ``toxic`` 1 or 0 (other rows are left out), by ``key``.
 
-    Without documents of either kind the classifier gives every text the
-    share of toxic labels (0 if there are none).
+    The sample is drawn from the labels, so only its few texts are gathered.
+    A document with several labels counts with each.  Without documents of
+    either kind the classifier gives every text the share of toxic labels (0 if
+    there are none).
     """
-    prepare_python(labelled.sparkSession)
-    known = labelled.where(F.col(toxic).isin(0, 1)).select(
-        F.col(toxic).cast("int").alias("_toxic"), F.col(text).alias("_text"), F.col(key).alias("_key"))
+    prepare_python(docs.sparkSession)
+    known = labels.where(F.col(toxic).isin(0, 1) & F.col(key).isNotNull()).select(
+        F.col(key).alias("_key"), F.col(toxic).cast("int").alias("_toxic"))
     shares = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}  # two rows at most
-    key_hash = F.xxhash64(F.col("_key"), F.coalesce("_text", F.lit("")))
-    rows = known.withColumn("_text", F.substring(F.coalesce("_text", F.lit("")), 1, SAMPLE_CHARS))
-    sample = materialize(sample_fraction(rows.where("_toxic = 1"), "_toxic", TOXIC_SAMPLE, key_hash).unionByName(
-        sample_fraction(rows.where("_toxic = 0"), "_toxic", ORDINARY_SAMPLE, key_hash)).select("_toxic", "_text"))
+    target = F.when(F.col("_toxic") == 1, TOXIC_SAMPLE).otherwise(ORDINARY_SAMPLE)
+    chosen = materialize(sample_fraction(known, "_toxic", target, F.col("_key")))
+    sample = materialize(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(chosen, "_key").select(
+        "_toxic", F.substring(F.coalesce("_text", F.lit("")), 1, SAMPLE_CHARS).alias("_text")))
     n1, n0 = shares.get(1, 0), shares.get(0, 0)
     words = distinctive_words(sample)
     plain = [r["_text"].encode() for r in sample.where("_toxic = 0").select("_text").orderBy(
