@@ -77,16 +77,18 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     whole = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
     occurrences = (docs.select(F.col(doc_id).alias("_id"), whole.alias("_hash"), lines.alias("_lines"), chunks(F.col(text)).alias("_chunks"))
                        .select("_id", "_hash", "_lines", F.explode(F.filter("_chunks", lambda c: (c["size"] > 1) | c["long"])).alias("x"))
-                       .select(place.alias("place"), "_id", "_hash", "x", _chunk_text(F.col("_lines"), F.col("x")).alias("chunk"))
+                       .select(place.alias("place"), F.col("x.size").alias("size"), _chunk_text(F.col("_lines"), F.col("x")).alias("chunk"))
                        .where(F.trim(F.replace("chunk", F.lit("\n"), F.lit(""))) != "")
                        .withColumn("h", hash_prefix(F.col("chunk"), 15)))
     repeated = materialize(occurrences.groupBy("h").agg(F.min("place").alias("a"), F.max("place").alias("b"))
                                       .where("a <> b").select("h"))
-    candidates = materialize(occurrences.join(repeated, "h", "left_semi").select("h", "chunk", "place", "_id", "_hash", "x"))
+    # the same plan at every size: texts are dealt out by hash and looked up there without sorting them
+    candidates = materialize(occurrences.join(repeated.hint("shuffle_hash"), "h", "left_semi").select("h", "chunk", "place", "size"))
     same = materialize(candidates.groupBy("h", "chunk").agg(F.min("place").alias("first"), F.max("place").alias("last"))
                                  .where("first <> last").drop("last"))
     removed = (candidates.join(same, ["h", "chunk"]).where("place <> first")
-                         .select(F.col("_id").alias("__line_id"), F.col("_hash").alias("__line_hash"), "x.start", "x.size").distinct()
+                         .select(F.when(~F.col("place.n"), F.col("place.i")).alias("__line_id"), F.col("place.t").alias("__line_hash"),
+                                 F.col("place.s").alias("start"), "size").distinct()
                          .groupBy("__line_id", "__line_hash")
                          .agg(F.collect_list("start").alias("__line_gone"), F.sum("size").alias("__line_n")))
     out = docs.join(removed, F.col(doc_id).eqNullSafe(F.col("__line_id")) & (whole == F.col("__line_hash")), "left")
