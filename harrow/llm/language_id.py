@@ -5,9 +5,10 @@ cut into chunks of CHUNK bytes; each is compressed with every dictionary, and
 the language whose dictionary needs the fewest bytes in all wins.  If the
 second best comes within MARGIN of it, the decision is marked as rejected.
 
-The dictionaries are fitted on a bounded sample: about SAMPLE_DOCS labelled
-documents a language, EXCERPT characters of each, DICTIONARY bytes in all.
-Prediction reads every whole text.
+The dictionaries are fitted on a bounded sample: about SAMPLE_DOCS different
+labelled texts a language, at most EXCERPT characters of each, and DICTIONARY
+bytes in all, to which every sampled text gives an equal share.  Prediction
+reads every whole text.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import sample_fraction, prepare_python
+from harrow.llm.common import materialize, prepare_python, sample_fraction
 
 SAMPLE_DOCS, EXCERPT, DICTIONARY = 200, 1000, 65536
 CHUNK = 1024
@@ -42,20 +43,36 @@ def clean(text: str) -> bytes:
     return regex.sub(r"[^\p{L}\p{M}']+", " ", " " + text.lower() + " ").encode()
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, bytes]:
+def even_shares(parts: list[bytes], total: int) -> list[bytes]:
+    """The starts of all parts, cut at one length so that they fit into ``total`` bytes; what short parts leave goes to the others."""
+    most, left = 0, total
+    for k, size in enumerate(sorted(map(len, parts))):
+        most = left // (len(parts) - k)
+        if size > most:
+            break
+        left -= size
+    return [p[:most] for p in parts]
+
+
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """Dictionary content by language; rows with null lang or without letters are left out.
 
-    ``key`` decides which rows are sampled, with the text, and nothing else.
+    Texts whose excerpts differ in nothing but case, digits and marks are one
+    text, so copies neither crowd the sample nor the dictionary.  A hash of that
+    excerpt decides what is sampled and orders the dictionary.
     """
-    known = labelled.where(F.col(lang).isNotNull() & F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}"))
-    rows = sample_fraction(known.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), F.col(key).alias("_key")),
-                           "_lang", SAMPLE_DOCS, F.xxhash64("_key", "_text"))
-    # bounded: SAMPLE_DOCS * EXCERPT characters a language
-    found = rows.select("_lang", F.substring("_text", 1, EXCERPT).alias("_text")).collect()
+    excerpt = F.substring(text, 1, EXCERPT)
+    letters = F.lower(F.regexp_replace(excerpt, r"[^\p{L}\p{M}']+", " "))
+    known = (labelled.where(F.col(lang).isNotNull() & F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}"))
+                     .select(F.col(lang).alias("_lang"), F.xxhash64(F.trim(letters)).alias("_hash"), excerpt.alias("_text")))
+    # only hashes are made different and counted; the join with the few chosen ones is a map-side filter
+    chosen = materialize(sample_fraction(known.select("_lang", "_hash").distinct(), "_lang", SAMPLE_DOCS, F.col("_hash")))
+    # bounded: about SAMPLE_DOCS * EXCERPT characters a language
+    found = known.join(chosen, ["_lang", "_hash"]).groupBy("_lang", "_hash").agg(F.min("_text").alias("_text")).collect()
     parts: dict[str, list[bytes]] = {}
-    for r in sorted(found, key=lambda r: (r["_lang"], r["_text"])):
+    for r in sorted(found, key=lambda r: (r["_lang"], r["_hash"])):
         parts.setdefault(r["_lang"], []).append(clean(r["_text"]))
-    return {name: b"".join(x)[:DICTIONARY] for name, x in sorted(parts.items())}
+    return {name: b"".join(even_shares(x, DICTIONARY)) for name, x in sorted(parts.items())}
 
 
 def _compressors(dictionaries: Mapping[str, bytes]) -> list[zstd.ZstdCompressor]:

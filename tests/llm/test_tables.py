@@ -218,6 +218,22 @@ def test_language_id(spark):
     assert language_id.predict(no_docs(spark), model).count() == 0
 
 
+def test_language_dictionary_holds_every_sampled_text_and_copies_once(spark):
+    rng = random.Random(5)
+    copy = "aaa copied " + prose(rng, "en", 300)
+    texts = [copy] * 67 + [f"{chr(98 + i % 25)}tag{chr(97 + i // 25)} " + prose(rng, "en", 300) for i in range(133)]
+    docs = spark.createDataFrame([(i, t if i % 2 else t.upper(), "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    content = language_id.fit(docs)["en"]
+    assert len(content) <= language_id.DICTIONARY and content.count(b"aaa copied") == 1
+    assert all(language_id.clean(t[:20]).strip() in content for t in texts)
+
+
+def test_even_shares():
+    assert language_id.even_shares([b"a" * 3, b"b" * 50, b"c" * 9], 30) == [b"a" * 3, b"b" * 18, b"c" * 9]
+    assert language_id.even_shares([b"ab", b"c"], 30) == [b"ab", b"c"] and language_id.even_shares([], 30) == []
+    assert sum(map(len, language_id.even_shares([b"x" * 1000] * 200, 65536))) <= 65536
+
+
 def test_language_query_accuracy(spark):
     rows = QUERIES["op10_language_id"](spark, "/root/testdata/sf0.01").collect()
     lang = {r.doc_id: r.lang for r in table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang").collect()}
