@@ -7,11 +7,15 @@ LONG_WORDS words or more is a passage by itself and always a chunk of its own.
 Chunks of two or more lines, and such long lines, that occur more than once in
 the whole corpus are removed, all but their first occurrence, after their bytes
 were compared.  All of it is DataFrame functions.
+
+Chunks leave lines of a shared passage standing where no boundary fits its
+edges.  ``dedup_passages`` has no chunks: it follows repeated pairs of
+neighbouring lines to both ends of the passage and removes it whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.llm.common import materialize
@@ -98,3 +102,70 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                .withColumn("removed_chunks", F.greatest(F.size("__line_gone"), F.lit(0)).cast("long"))
                .withColumn("removed_lines", F.coalesce("__line_n", F.lit(0)).cast("long"))
                .drop("__line_id", "__line_hash", "__line_gone", "__line_n"))
+
+
+def _words(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+
+
+def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with repeated passages cut out of ``text``, plus removed_runs and removed_lines (replaced if they exist).
+
+    A line pair, or a line of LONG_WORDS words or more, is repeated if it
+    occurred before, by (doc_id, md5 of the text, line), null doc_ids last.  A
+    run is a chain of repeated pairs and long lines that overlap, so it ends
+    where the next pair is new.  Runs of LONG_WORDS words, or of two lines that
+    aren't blank, are removed whole; of every line removed an equal one stays.
+    Rows equal in doc_id and text are one document and get the same result.
+    Texts in which nothing repeats are left alone (null stays null).
+
+    Pairs are equal if their SHA-256 are.  No text is shuffled but to join the
+    runs to the documents at the end; the runs of a document are found by
+    windows over its own repeated pairs.
+    """
+    docs = docs.drop("removed_runs", "removed_lines")
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    whole = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    place = F.struct(F.col("_id").isNull().alias("n"), F.coalesce("_id", F.lit(0)).alias("i"), F.col("_hash").alias("t"),
+                     F.col("x.start").alias("s"))
+    pairs = F.transform(F.slice("_lines", 2, F.greatest(F.size("_lines") - 1, F.lit(0))),
+                        lambda _, i: F.struct(i.alias("start"), F.lit(2).alias("size")))
+    long = F.filter(F.transform("_lines", lambda x, i: F.when(_words(x) >= LONG_WORDS, F.struct(i.alias("start"), F.lit(1).alias("size")))),
+                    lambda x: x.isNotNull())
+    units = (docs.select(F.col(doc_id).alias("_id"), whole.alias("_hash"), lines.alias("_lines"))
+                 .select("_id", "_hash", "_lines", F.explode(F.concat(pairs, long)).alias("x"))
+                 .select(place.alias("place"), F.col("x.size").alias("size"),
+                         F.unhex(F.sha2(_chunk_text(F.col("_lines"), F.col("x")).cast("binary"), 256)).alias("key")))
+    seen = F.xxhash64("place")
+    repeated = materialize(units.groupBy("key").agg(F.min(seen).alias("a"), F.max(seen).alias("b")).where("a <> b").select("key"))
+    candidates = materialize(units.join(repeated.hint("shuffle_hash"), "key", "left_semi"))
+    first = materialize(candidates.groupBy("key").agg(F.min("place").alias("first")))
+    later = (candidates.join(first, "key").where("place <> first")
+                       .select(F.when(~F.col("place.n"), F.col("place.i")).alias("__line_id"), F.col("place.t").alias("__line_hash"),
+                               F.col("place.s").alias("start"), (F.col("place.s") + F.col("size")).alias("end")).distinct())
+    own = Window.partitionBy("__line_id", "__line_hash").orderBy("start", "end")
+    before = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    runs = (later.withColumn("fresh", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int"))
+                 .withColumn("run", F.sum("fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+                 .groupBy("__line_id", "__line_hash", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+                 .groupBy("__line_id", "__line_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__line_runs")))
+    out = docs.join(runs, F.col(doc_id).eqNullSafe(F.col("__line_id")) & (whole == F.col("__line_hash")), "left")
+
+    def between(start: Column, end: Column) -> Column:
+        return F.slice(lines, start + 1, end - start)
+
+    def counts(run: Column) -> Column:
+        own_lines = between(run["start"], run["end"])
+        return (_words(F.array_join(own_lines, " ")) >= LONG_WORDS) | (F.size(F.filter(own_lines, lambda x: F.trim(x) != "")) >= 2)
+
+    out = out.withColumn("__line_gone", F.filter("__line_runs", counts))
+    # what stays are the stretches before, between and behind the runs
+    starts = F.concat(F.array(F.lit(0)), F.col("__line_gone.end"))
+    ends = F.concat(F.col("__line_gone.start"), F.array(F.size(lines)))
+    stretches = F.filter(F.arrays_zip(starts.alias("start"), ends.alias("end")), lambda x: x["end"] > x["start"])
+    rest = F.array_join(F.flatten(F.transform(stretches, lambda x: between(x["start"], x["end"]))), "\n")
+    removed = F.aggregate("__line_gone", F.lit(0), lambda n, x: n + x["end"] - x["start"])
+    return (out.withColumn("removed_runs", F.greatest(F.size("__line_gone"), F.lit(0)).cast("long"))
+               .withColumn("removed_lines", F.coalesce(removed, F.lit(0)).cast("long"))
+               .withColumn(text, F.when(F.col("removed_lines") == 0, F.col(text)).otherwise(rest))
+               .drop("__line_id", "__line_hash", "__line_runs", "__line_gone"))

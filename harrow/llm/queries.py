@@ -48,6 +48,12 @@ def op6_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(docs)
 
 
+def op6_whole_passages(spark, sf_dir):
+    """Repeated passages removed to their ends; op6_line_dedup keeps the chunk rule that its SQL states."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_passages(docs)
+
+
 def op7_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, TOKENIZER).drop("text")
@@ -69,7 +75,7 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_embedding_near_dedup, op2_url_filters, op3_mix_sources, op4_best_fit_packing, op5_toxicity, op6_line_dedup,
+    op1_embedding_near_dedup, op2_url_filters, op3_mix_sources, op4_best_fit_packing, op5_toxicity, op6_line_dedup, op6_whole_passages,
     op7_token_counts, op8_simhash_near_dedup, op9_exact_dedup, op10_language_id)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -262,3 +262,31 @@ def test_line_dedup_on_odd_and_empty_tables(spark):
     out = line_dedup.dedup_lines(odd_docs(spark))
     assert out.count() == len(odd_rows())
     assert line_dedup.dedup_lines(no_docs(spark)).count() == 0
+
+
+def test_passages_go_whole(spark):
+    import random
+    rng = random.Random(8)
+    passages = [[f"p{k} l{j} " + " ".join(f"w{rng.randrange(999)}" for _ in range(10)) for j in range(5 + k % 4)] for k in range(30)]
+    rows, own = [], {}
+    for copy in range(2):
+        for k, passage in enumerate(passages):
+            i = copy * 100 + k
+            own[i] = [f"own {i} {j} " + "x" * (i % 7) for j in range(6)]
+            cut = rng.randrange(7)
+            head, tail = own[i][:cut], own[i][cut:]
+            rows.append((i, "\n".join(head + passage + ["see also", ""] + tail)))
+    rows += [(500, None), (501, ""), (502, "a b\n\n\nc d"), (503, "a b\nother\n\n\nc d"), (504, "see also"), (504, "see also")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in line_dedup.dedup_passages(docs).collect()}
+    for k, passage in enumerate(passages):
+        assert out[k].text == rows[k][1] and out[k].removed_lines == 0
+        rest = out[100 + k].text.split("\n")
+        assert [x for x in rest if x not in ("see also", "")] == own[100 + k]
+        assert out[100 + k].removed_runs == 1 and out[100 + k].removed_lines >= len(passage)
+    assert all(out[i].text == t and out[i].removed_runs == 0 for i, t in rows[-6:])
+
+
+def test_passages_odd_and_empty_tables(spark):
+    assert line_dedup.dedup_passages(odd_docs(spark)).count() == len(odd_rows())
+    assert line_dedup.dedup_passages(no_docs(spark)).count() == 0
