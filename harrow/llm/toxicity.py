@@ -13,15 +13,18 @@ characters from its start.  Scoring reads every whole text.
 
 Toxic documents consist mostly of ordinary language, so toxic *text* is found
 first: the words which toxic documents use in significantly more different
-contexts (neighbouring words) than ordinary ones do.  Copies of a document add
-no new contexts, so they lend nothing.  The toxic dictionary is trained on
-those words and then shares the ordinary dictionary's content, so that common
-language costs the same with either and only toxic material makes a difference.
+contexts (neighbouring words), or in significantly more different documents,
+than ordinary ones do.  Copies of a document lend nothing.  The toxic dictionary
+is trained on the stretches of toxic text that hold those words (without any
+such word, on all toxic text), lists the words and then shares the ordinary
+dictionary's content, so that common language costs the same with either and
+only toxic material makes a difference.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,6 +45,7 @@ ORDINARY_BYTES, TOXIC_BYTES = 32768, 32768
 MOST_SAVED = 11
 THRESHOLD = 0.3
 WORD = r"[^\x00-/:-@\[-`{-\x7F]+"
+_WORD_BYTES = re.compile(WORD.encode())
 
 
 def windows(text: bytes, size: int = WINDOW) -> list[bytes]:
@@ -62,7 +66,7 @@ class Dictionaries:
     def compressors(self) -> tuple[zstd.ZstdCompressor, zstd.ZstdCompressor]:
         out = []
         params = zstd.ZstdCompressionParameters.from_level(
-            LEVEL, source_size=8 * WINDOW, dict_size=len(self.ordinary), write_content_size=0, write_checksum=0,
+            LEVEL, source_size=8 * WINDOW, dict_size=max(len(self.toxic), len(self.ordinary)), write_content_size=0, write_checksum=0,
             write_dict_id=0, format=zstd.FORMAT_ZSTD1_MAGICLESS)
         for content in (self.toxic, self.ordinary):
             d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
@@ -102,17 +106,48 @@ def _train(samples: list[bytes], size: int) -> bytes:
         return b" ".join(samples)[-size:]
 
 
+def stretches(text: bytes, words: frozenset[bytes]) -> list[bytes]:
+    """The runs of neighbouring ``words`` in each window of 8 words."""
+    out = []
+    for window in windows(text, 8):
+        run: list[bytes] = []
+        for w in [*window.split(), b""]:
+            if not words.isdisjoint(_WORD_BYTES.findall(w)):
+                run.append(w)
+            elif run:
+                out.append(b" " + b" ".join(run) + b" ")
+                run = []
+    return out
+
+
 def distinctive_words(sample: DataFrame) -> list[bytes]:
     """Words of toxic documents (``_text``, ``_toxic``) by falling evidence, as far as TOXIC_BYTES reach.
 
     Evidence is the G statistic of the numbers of different contexts in toxic
-    and ordinary documents; it must exceed what the best of all words reaches by chance.
+    and ordinary documents, or of the numbers of different documents if that is
+    more; it must exceed what the best of all words reaches by chance.
     """
     words = F.expr(f"regexp_extract_all(_low, '{WORD}', 0)".replace("\\", "\\\\"))
     around = F.expr("transform(_words, (w, i) -> struct(w as word, xxhash64(w, get(_words, i - 1), get(_words, i + 1)) as ctx))")
-    contexts = (sample.select("_toxic", ascii_lower(F.col("_text")).alias("_low")).withColumn("_words", words)
-                      .select("_toxic", F.explode(around).alias("x")).select("_toxic", "x.word", "x.ctx").distinct())
-    counts = materialize(contexts.groupBy("word").agg(F.sum("_toxic").alias("a"), F.sum(F.lit(1) - F.col("_toxic")).alias("b")))
+    low = sample.select("_toxic", ascii_lower(F.col("_text")).alias("_low")).withColumn("_words", words)
+    contexts = low.select("_toxic", F.explode(around).alias("x")).select("_toxic", "x.word", "x.ctx").distinct()
+    holders = low.select("_toxic", F.xxhash64("_low").alias("ctx"), F.explode(F.array_distinct("_words")).alias("word")).distinct()
+    found: dict[str, float] = {}
+    for supports in (contexts, holders):
+        for row in _significant(supports):
+            found[row.word] = max(row.g, found.get(row.word, 0.0))
+    out, size = [], 0
+    for word, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):
+        size += len(word.encode()) + 1
+        if size > TOXIC_BYTES:
+            break
+        out.append(word.encode())
+    return out
+
+
+def _significant(supports: DataFrame) -> list:
+    """(word, g) of the words with significantly more supports (rows of _toxic and word) in toxic documents."""
+    counts = materialize(supports.groupBy("word").agg(F.sum("_toxic").alias("a"), F.sum(F.lit(1) - F.col("_toxic")).alias("b")))
     all_a, all_b, tried = counts.agg(F.sum("a"), F.sum("b"), F.count_if(F.col("a") + F.col("b") >= 3)).first()
     if not all_a or not all_b:
         return []
@@ -125,15 +160,8 @@ def distinctive_words(sample: DataFrame) -> list[bytes]:
     g = 2 * (part(a, w * (all_a / n)) + part(b, w * (all_b / n))
              + part(F.lit(all_a) - a, F.lit(all_a) - w * (all_a / n)) + part(F.lit(all_b) - b, F.lit(all_b) - w * (all_b / n)))
     least = 2 * math.log(max(tried, 2)) + 4
-    found = (counts.withColumn("g", g).where((F.col("g") >= least) & (a / F.lit(all_a) > 5 * (b + 0.5) / F.lit(all_b)))
-                   .orderBy(F.desc("g"), "word").limit(TOXIC_BYTES // 4).collect())
-    out, size = [], 0
-    for row in found:
-        size += len(row.word.encode()) + 1
-        if size > TOXIC_BYTES:
-            break
-        out.append(row.word.encode())
-    return out
+    return (counts.withColumn("g", g).where((F.col("g") >= least) & (a / F.lit(all_a) > 5 * (b + 0.5) / F.lit(all_b)))
+                  .orderBy(F.desc("g"), "word").limit(TOXIC_BYTES // 4).collect())
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -169,23 +197,35 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "to
         "_toxic", F.substring(F.coalesce("_text", F.lit("")), 1, SAMPLE_CHARS).alias("_text")))
     n1, n0 = shares.get(1, 0), shares.get(0, 0)
     words = distinctive_words(sample)
-    plain = [r["_text"].encode() for r in sample.where("_toxic = 0").select("_text").orderBy(
-        F.xxhash64("_text"), "_text").limit(ORDINARY_SAMPLE // 8).collect()]  # the same ones in every run
+
+    def texts(kind: int, most: int) -> list[bytes]:
+        """Different texts, the same ones in every run."""
+        return [r["_text"].encode() for r in sample.where(F.col("_toxic") == kind).select("_text").distinct().orderBy(
+            F.xxhash64("_text"), "_text").limit(most).collect()]
+
+    plain, marked = texts(0, ORDINARY_SAMPLE // 8), texts(1, TOXIC_SAMPLE // 4)
     base = _train([w for t in plain for w in windows(t, 8)], ORDINARY_BYTES) if plain else b""
-    special = b" " + b" ".join(reversed(words)) + b" "
+    listed = b" " + b" ".join(reversed(words)) + b" "
+    if words:
+        held = frozenset(words)
+        found, used = [x for t in marked for x in stretches(t, held)], set()
+    else:  # calibrated on the other half of the toxic texts
+        found, used = [w for t in marked[::2] for w in windows(t, 8)], set(marked[::2]) if len(marked) > 1 else set()
+    special = (_train(found, TOXIC_BYTES) if found else b"") + listed
     dictionaries = Dictionaries(special + base, base + b" ")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = dictionaries.compressors()
         for batch in batches:
-            saved = [savings(t, pair).astype("int8").tobytes() for t in text_bytes(batch.column("_text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("_toxic"), pa.array(saved, pa.binary())], ["_toxic", "saved"])
+            kept = [(y, t) for y, t in zip(batch.column("_toxic").to_pylist(), text_bytes(batch.column("_text"))) if not y or t not in used]
+            saved = [savings(t, pair).astype("int8").tobytes() for _, t in kept]
+            yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in kept], pa.int32()), pa.array(saved, pa.binary())], ["_toxic", "saved"])
 
     # bounded: one byte per window of the sample
     rows = sample.mapInArrow(count, "_toxic int, saved binary").collect()
     y = np.array([r["_toxic"] for r in rows], dtype=float)
     saved = [np.frombuffer(bytes(r["saved"]), np.int8) for r in rows]
-    if not words or not y.any() or y.all():
+    if not y.any() or y.all():
         share = n1 / (n1 + n0) if n1 + n0 else 0.0
         return Classifier(dictionaries, (0.0,) * (MOST_SAVED + 1), 0.0, math.log((share + 1e-6) / (1 - share + 1e-6)))
     tables = [sum((np.bincount(s, minlength=MOST_SAVED + 1) for s, label in zip(saved, y) if label == kind),
@@ -203,7 +243,7 @@ def score(docs: DataFrame, model: Classifier, text: str = "text", out: str = "sc
     """``docs`` plus ``out``, from 0 to 1, over each whole text (an existing column of this name is replaced).
 
     Null and empty texts are scored as one empty window.  Nothing but the text
-    is read.  No shuffle; the model (at most TOXIC_BYTES + 2 * ORDINARY_BYTES
+    is read.  No shuffle; the model (at most 2 * TOXIC_BYTES + 2 * ORDINARY_BYTES
     and a few numbers) travels with the tasks.
     """
     prepare_python(docs.sparkSession)

@@ -182,6 +182,30 @@ def test_toxicity_learns_words_and_leaves_clean_texts_alone(spark):
     assert all(0 <= x <= 1 for x in scores.values()) and scores[3] >= 0.3 > scores[4] and scores[1] == scores[2] < 0.3
 
 
+def test_toxicity_learns_fixed_phrases_and_trains_its_dictionary(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(300):
+        words = prose(rng, "en", 80).split()
+        if i % 4 == 0:
+            at = rng.randrange(len(words))
+            words[at:at] = "filthy zorgflat krumbix vexnodal scum".split()
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    train = docs.where("doc_id % 3 <> 0")
+    model = toxicity.fit(train.drop("toxic"), train.drop("text"))
+    assert b"zorgflat krumbix vexnodal" in model.dictionaries.toxic
+    found = {r.doc_id: r.score for r in toxicity.score(docs.where("doc_id % 3 = 0"), model).collect()}
+    assert np.mean([(found[i] >= toxicity.THRESHOLD) == bool(y) for i, _, y in rows if i % 3 == 0]) > 0.97
+
+
+def test_toxicity_without_distinctive_words_is_trained_all_the_same(spark):
+    rows = [(i, f"{'zorgflat krumbix' if i < 2 else 'plain ordinary'} " + prose(random.Random(i), "en", 30), int(i < 2)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.drop("toxic"), docs.drop("text"))
+    assert b"zorgflat" in model.dictionaries.toxic and any(model.evidence)
+
+
 def test_toxicity_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, toxic int")
     model = toxicity.fit(empty.drop("toxic"), empty.drop("text"))
