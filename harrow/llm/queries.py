@@ -1,15 +1,16 @@
-"""Registered queries op1 to op10 over whole tables, with DuckDB SQL where SQL can express them."""
+"""Registered queries op1 to op13 over whole tables, with DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from harrow.llm import (embedding_neardup, exact_dedup, language_id, line_dedup, mixing, packing, simhash, token_counts,
-                        toxicity, url_filters)
+from harrow.llm import (alignment, embedding_neardup, exact_dedup, language_id, line_dedup, merkle, mixing, packing, piece_bpe, simhash,
+                        token_counts, toxicity, url_filters)
 from harrow.llm.common import held_out, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_embedding_near_dedup(spark, sf_dir):
@@ -74,9 +75,22 @@ def op10_language_id(spark, sf_dir):
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_sentencepiece(spark, sf_dir):
+    return piece_bpe.piece_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+
+
+def op12_token_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER, PIECES).drop("groups")
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_embedding_near_dedup, op2_url_filters, op3_mix_sources, op4_best_fit_packing, op5_toxicity, op6_line_dedup, op6_whole_passages,
-    op7_token_counts, op8_simhash_near_dedup, op9_exact_dedup, op10_language_id)}
+    op7_token_counts, op8_simhash_near_dedup, op9_exact_dedup, op10_language_id, op11_sentencepiece, op12_token_alignment,
+    op13_merkle_manifest)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -166,5 +180,46 @@ g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP B
 n AS (SELECT *, row_number() OVER (PARTITION BY body, doc_id) AS i FROM d)
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND i = 1 AS kept, text_sha256 FROM n JOIN g USING (body)"""
 
+_LEVELS, _TOP_LEVELS = 8, 3  # enough for 8 ** 8 documents a language and 8 ** 3 languages
+
+
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR END"
+
+
+def _level(below: str, own: str, part: str) -> str:
+    """Nodes of a level with the path of their children; a tree with one node stays as it is."""
+    by = f"PARTITION BY {part}, i // {merkle.FAN}"
+    return f"""
+{own}_c AS (SELECT *, count(*) OVER (PARTITION BY {part}) AS n, string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l,
+    string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r FROM {below} WINDOW w AS ({by} ORDER BY i)),
+{own} AS (SELECT {part}, i // {merkle.FAN} AS i, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h
+    FROM {own}_c GROUP BY {part}, i // {merkle.FAN})"""
+
+
+def _climb(before: str, own: str, level: str, part: str) -> str:
+    """Every leaf's hash and proof one level higher."""
+    return f"""
+{own} AS (SELECT s.* REPLACE (s.i // {merkle.FAN} AS i, CASE WHEN c.n = 1 THEN s.f ELSE sha256(coalesce(c.l, '') || s.f || coalesce(c.r, '')) END AS f,
+    s.p || coalesce(c.l, '') || coalesce(c.r, '') AS p) FROM {before} s JOIN {level}_c c ON c.{part} = s.{part} AND c.i = s.i)"""
+
+
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+_HASHED = " || ".join(_field(c) for c in merkle.FIELDS)
+_OP13 = f"""
+WITH d AS (SELECT doc_id, lang, sha256({_HASHED}) AS leaf, coalesce({_CRC} % 3 = 0, false) AS hit,
+    sha256({_HASHED.replace("text", "low")}) AS changed FROM (SELECT *, {_LOWER.format("text")} AS low FROM documents)),
+l0 AS (SELECT doc_id, leaf AS h, leaf, CASE WHEN hit THEN changed ELSE leaf END AS f, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS t,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+{",".join(_level(f"l{k}", f"l{k + 1}", "t") for k in range(_LEVELS))},
+s0 AS (SELECT doc_id, leaf, f, t, i, '' AS p FROM l0),
+{",".join(_climb(f"s{k}", f"s{k + 1}", f"l{k + 1}", "t") for k in range(_LEVELS))},
+t0 AS (SELECT 0 AS z, t AS i, h FROM l{_LEVELS}),
+{",".join(_level(f"t{k}", f"t{k + 1}", "z") for k in range(_TOP_LEVELS))},
+u0 AS (SELECT s.doc_id, s.leaf, s.f, s.p, s.t AS i, 0 AS z, l.h AS subroot FROM s{_LEVELS} s JOIN l{_LEVELS} l ON l.t = s.t),
+{",".join(_climb(f"u{k}", f"u{k + 1}", f"t{k + 1}", "z") for k in range(_TOP_LEVELS))}
+SELECT doc_id, leaf, subroot, h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = h AS verified FROM u{_TOP_LEVELS}, t{_TOP_LEVELS}"""
+
 ORACLES = {"op1_embedding_near_dedup": _OP1, "op2_url_filters": _OP2, "op3_mix_sources": _OP3, "op6_line_dedup": _OP6,
-           "op9_exact_dedup": _OP9}
+           "op9_exact_dedup": _OP9, "op13_merkle_manifest": _OP13}
