@@ -39,9 +39,9 @@ from harrow.llm.piece_bpe import MARKS, SPACE, PieceModel
 #: A chunk is closed when it holds so many (document, pair) entries or documents; one document is never split.
 CHUNK_ENTRIES, CHUNK_DOCS = 1_000_000, 20_000
 #: Characters of text aligned together, and segments remembered at most (those of the texts in hand come on top).
-TOGETHER, REMEMBERED = 2_000_000, 400_000
+TOGETHER, REMEMBERED = 1_000_000, 200_000
 #: Entries that a matrix product expands at once.
-EXPANDED = 4_000_000
+EXPANDED = 500_000
 #: A pair of ids as one long: the id of A times this, plus the id of B.
 PAIR = 1 << 24
 #: Where both tokenizers begin a new token: before a space between other characters.
@@ -178,9 +178,14 @@ class Aligner:
     def ids(self, segments: Sequence[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of A and B for stretches of text that have their space in front already."""
         encoded = self.a.encode_batch_fast(list(segments), add_special_tokens=False)
-        ids_b = [np.frombuffer(b"".join(map(self.b.known.__getitem__, self.b.segments(s.replace(" ", SPACE)))), np.int32).tolist()
-                 for s in segments]
-        return [e.ids for e in encoded], ids_b
+        # segments stand for themselves here, so B's own cache isn't asked
+        parts = [self.b.segments(s.replace(" ", SPACE)) for s in segments]
+        flat = self.b.merge_each(list(chain.from_iterable(parts)))
+        joined, k = [], 0
+        for own in parts:
+            joined.append(np.frombuffer(flat[k] if len(own) == 1 else b"".join(flat[k:k + len(own)]), np.int32).tolist())
+            k += len(own)
+        return [e.ids for e in encoded], joined
 
     def multiply(self, segments: Sequence[str]) -> Segments:
         """Alignments of segments, by products of block diagonal matrices."""
