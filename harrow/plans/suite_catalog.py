@@ -28,9 +28,44 @@ def scored_batch(spark, sf):
     return S.score_postings(keyed_postings(spark, sf), POSTINGS_NOW)
 
 
-@register("j3_dedup_batch")
+def _j3_sql(old: str | None = None) -> str:
+    """Acceptance in rounds over all match pairs; rows that fulfil ``old`` are the catalog, before all others."""
+    from harrow.plans.suite_dedup import matches_sql
+    from harrow.plans.suite_text import _score_oracle
+    is_old = {x: f"({old.replace('ord', x + '.ord')})" if old else "false" for x in "nbc"}
+    place = f"CASE WHEN {is_old['c']} THEN c.ord - 1000000000000 ELSE c.ord END"
+    return with_views(matches_sql(f"NOT {is_old['n']} AND ({is_old['c']} OR c.ord < n.ord)") + f""",
+sc AS ({_score_oracle('d_postings', '1998-06-15 00:00:00')}),
+p AS MATERIALIZED (SELECT new_ord, cand_ord, min(rule) AS rule FROM r WHERE rule IS NOT NULL GROUP BY new_ord, cand_ord),
+st AS (
+  SELECT 0 AS round, b.ord, sc.passes_gate AS gate, CASE WHEN {is_old['b']} THEN 'A' ELSE 'U' END AS s FROM base b JOIN sc ON sc.ord = b.ord
+  UNION ALL
+  SELECT st.round + 1, st.ord, st.gate, CASE WHEN st.s <> 'U' THEN st.s WHEN x.hit THEN 'D' WHEN x.waits THEN 'U' WHEN st.gate THEN 'A' ELSE 'R' END
+  FROM st LEFT JOIN (SELECT p.new_ord, bool_or(c.s = 'A') AS hit, bool_or(c.s = 'U' AND c.gate) AS waits
+    FROM p JOIN st c ON c.ord = p.cand_ord GROUP BY p.new_ord) x ON x.new_ord = st.ord
+  WHERE (SELECT count(*) FROM st WHERE s = 'U') > 0),
+done AS MATERIALIZED (SELECT ord, s FROM st WHERE round = (SELECT max(round) FROM st)),
+hit AS (SELECT p.new_ord, arg_min(c.ord, {place}) AS t, arg_min(p.rule, {place}) AS rule
+  FROM p JOIN done c ON c.ord = p.cand_ord AND c.s = 'A' GROUP BY p.new_ord)
+SELECT b.ord, b.s = 'A' AS accepted, b.s = 'D' AS is_duplicate, hit.t AS target_ord, {is_old['c'].replace('c.ord', 'hit.t')} AND hit.t IS NOT NULL AS in_catalog,
+  (['dedup_key', 'platform_job_id', 'canonical_url', 'content_hash', 'company_title', 'fuzzy_title_desc', 'fuzzy_title'])[hit.rule] AS reason
+FROM done b LEFT JOIN hit ON hit.new_ord = b.ord AND b.s = 'D' WHERE NOT {is_old['b']}""", "d_postings").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("j3_dedup_batch", _j3_sql())
 def j3(spark, sf):
-    return D.dedup_batch(scored_batch(spark, sf))
+    return D.dedup_batch(scored_batch(spark, sf)).withColumn("in_catalog", F.coalesce("target_in_catalog", F.lit(False))).drop("target_in_catalog")
+
+
+_OLD = "ord % 3 = 0"
+
+
+@register("j3b_dedup_catalog", _j3_sql(_OLD))
+def j3b(spark, sf):
+    """Every third posting is in the catalog, the others are a batch."""
+    scored = reliable_checkpoint(scored_batch(spark, sf).select(*D.DEDUP_COLUMNS, "passes_gate"))
+    found = D.dedup_batch(scored.filter(f"NOT ({_OLD})"), catalog=scored.filter(_OLD))
+    return found.withColumn("in_catalog", F.coalesce("target_in_catalog", F.lit(False))).drop("target_in_catalog")
 
 
 _PHRASE_SQL = "CASE " + " ".join(

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Initial shuffle partitions on a cluster; adaptive execution merges small ones.
 CLUSTER_SHUFFLE_PARTITIONS = 4000
@@ -57,18 +58,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def reliable_checkpoint(df):
-    """Materialize ``df`` into the shared checkpoint folder and cut its lineage.
+def _work_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/harrow-{spark.sparkContext.applicationId}"
 
-    The rows are persisted (memory, spilling to disk) while the checkpoint is
-    written so the plan runs once, not twice; the persisted copy is dropped
-    afterwards.  A lost executor re-reads the checkpoint files instead of
-    recomputing the lineage.
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back, which cuts its lineage.
+
+    A lost executor re-reads the files instead of recomputing the lineage, Spark
+    knows the size of what it joins next, and small parts are read together.
     """
-    from pyspark import StorageLevel
+    spark = df.sparkSession
+    path = f"{_work_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
 
-    checkpoint_dir(df.sparkSession)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = df.checkpoint(eager=True)
-    df.unpersist()
-    return out
+def release_checkpoints(spark: SparkSession) -> None:
+    """Remove everything that ``reliable_checkpoint`` wrote in this application; call it when all results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_work_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
