@@ -29,17 +29,12 @@ CASED = r"\p{Lu}\p{Ll}\p{Lt}"
 
 @pandas_udf(StringType())
 def _unescape(s: pd.Series) -> pd.Series:
-    has_amp = s.str.contains("&", regex=False, na=False).astype(bool)
-    if not has_amp.any():
-        return s
-    out = s.copy()
-    out[has_amp] = s[has_amp].map(_html.unescape)
-    return out
+    return s.map(_html.unescape, na_action="ignore")
 
 
 def unescape_html(c: Column) -> Column:
-    """HTML entity decoding (named, numeric, legacy forms)."""
-    return _unescape(c)
+    """HTML entity decoding (named, numeric, legacy forms); only texts with an ampersand are sent to Python."""
+    return F.coalesce(_unescape(F.when(c.contains("&"), c)), c)
 
 
 def collapse_ws(c: Column) -> Column:

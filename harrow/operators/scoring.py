@@ -47,6 +47,46 @@ def tag_keywords(df: DataFrame, col: str, terms, out: str = "matched") -> DataFr
     return df.withColumn(out, F.array_sort(F.array_distinct(matched_terms(F.col("__hay"), terms)))).drop("__hay")
 
 
+def tag_keywords_by_table(df: DataFrame, col: str, terms: DataFrame, out: str = "matched") -> DataFrame:
+    """T5 with a dictionary of any size: ``terms`` has a column ``term``; the result equals ``tag_keywords``.
+
+    A text is cut into runs of [a-z0-9] and what stands between.  Every stretch
+    of as many runs as some term has meets the terms in an equi-join on the text
+    from the first to the last run; characters that a term has before or behind
+    are compared with what stands there, and must not reach to the next run.
+    Equal texts are tagged once.  Terms without a letter or digit match nothing.
+    """
+    core = F.regexp_extract("term", r"(?s)^[^a-z0-9]*([a-z0-9](?:.*[a-z0-9])?)", 1)
+    d = (terms.select("term").distinct().withColumn("core", core).filter("core <> ''")
+              .withColumn("lead", F.expr("substring(term, 1, instr(term, core) - 1)"))
+              .withColumn("trail", F.expr("substring(term, length(lead) + length(core) + 1)"))
+              .withColumn("n", F.size(F.regexp_extract_all("core", F.lit("[a-z0-9]+"), F.lit(0)))))
+    # as many numbers as terms have lengths in runs
+    sizes = sorted(r[0] for r in d.select("n").distinct().collect())
+    hay = df.withColumn("__hay", keyword_haystack(F.col(col))).withColumn("__key", F.sha2(F.col("__hay"), 256))
+    # separators at even places, runs at odd ones
+    parts = F.regexp_extract_all("__hay", F.lit("[a-z0-9]+|[^a-z0-9]+"), F.lit(0))
+    texts = hay.select("__key", "__hay").distinct().select("__key", parts.alias("p")).select(
+        "__key", F.when(F.get("p", F.lit(0)).rlike("^[a-z0-9]"), F.concat(F.array(F.lit("")), "p")).otherwise(F.col("p")).alias("p"))
+
+    def stretches(n: int) -> Column:
+        count = F.floor(F.size("p") / 2).cast("int")
+        return F.transform(F.when(count >= n, F.sequence(F.lit(0), count - n)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(
+            F.array_join(F.slice(F.col("p"), i * 2 + 2, F.lit(2 * n - 1)), "").alias("core"), F.get(F.col("p"), i * 2).alias("before"),
+            F.coalesce(F.get(F.col("p"), i * 2 + 2 * n), F.lit("")).alias("behind"),
+            (i == 0).alias("first"), (i == count - n).alias("last")))
+
+    found = texts.select("__key", F.explode(F.concat(*[stretches(n) for n in sizes])).alias("x")).select("__key", "x.*") if sizes else None
+    if found is None:
+        return hay.withColumn(out, _empty()).drop("__hay", "__key")
+    open_left = F.col("first") | (F.length("before") > F.length("lead"))
+    open_right = F.col("last") | (F.length("behind") > F.length("trail"))
+    hits = found.join(d.drop("n"), "core").filter(
+        ((F.col("lead") == "") | (F.endswith("before", "lead") & open_left)) & ((F.col("trail") == "") | (F.startswith("behind", "trail") & open_right)))
+    tagged = hits.select("__key", "term").distinct().groupBy("__key").agg(F.array_sort(F.collect_list("term")).alias("__found"))
+    return hay.join(tagged, "__key", "left").withColumn(out, F.coalesce("__found", _empty())).drop("__hay", "__key", "__found")
+
+
 def categories_of(hay: Column) -> Column:
     """Category tags present in a prepared haystack, default ['software']."""
     found = F.array_compact(F.array(*[F.when(has_any(hay, kws), F.lit(cat)) for cat, kws in CATEGORY_KEYWORDS]))

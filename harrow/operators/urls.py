@@ -3,7 +3,7 @@ crawl allowlist (P4) and platform resolution (P5)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.functions.dictionaries import (
@@ -116,3 +116,45 @@ def resolve_platform(df: DataFrame, col: str = "url", company_domains=(), dot_bo
              .withColumn("platform_slug", host_platform_slug(F.col("__host"), company_domains, dot_boundary))
              .drop("__host"))
     return out if keep_unmatched else out.filter(F.col("platform_slug").isNotNull())
+
+
+def platform_domains(spark: SparkSession) -> DataFrame:
+    """The declared platforms as a table: domain, platform_slug, priority (a lower one wins)."""
+    rows = [(d, slug, k) for k, (slug, domains) in enumerate(POSTING_PLATFORMS) for d in domains]
+    return spark.createDataFrame(rows, "domain string, platform_slug string, priority int")
+
+
+def resolve_platform_by_table(df: DataFrame, domains: DataFrame, col: str = "url", guild: str | None = None, dot_boundary: bool = False,
+                              keep_unmatched: bool = False) -> DataFrame:
+    """P5 with any number of domains: (domain, platform_slug, priority) and, with ``guild``, that column.
+
+    A host is cut to its ends of the lengths that domains have, and these meet
+    the domains in an equi-join, so the bare suffix rule is exact too;
+    ``dot_boundary`` asks for a dot before the domain.  Rows of ``domains`` whose
+    guild is null hold for all guilds.  The lowest priority wins, then the domain
+    that sorts first.  Every different host (of a guild) is looked up once.
+    """
+    d = domains.select(F.lower(F.trim("domain")).alias("__end"), "platform_slug", "priority", *([guild] if guild else [])).filter("__end <> ''")
+    # as many numbers as there are lengths of host names
+    lengths = sorted(r[0] for r in d.select(F.length("__end")).distinct().collect())
+    out = df.drop("platform_slug").withColumn("__host", url_host(F.col(col)))
+    if not lengths:
+        out = out.withColumn("platform_slug", F.lit(None).cast("string")).drop("__host")
+        return out if keep_unmatched else out.filter("platform_slug is not null")
+    own = ["__host"] + ([guild] if guild else [])
+    hosts = out.select(*own).filter("__host <> ''").distinct()
+    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("__host"))
+    ends = hosts.select(*own, F.explode(F.transform(fitting, lambda n: F.right(F.col("__host"), n))).alias("__end"))
+    if dot_boundary:
+        ends = ends.filter((F.col("__end") == F.col("__host")) | F.col("__host").endswith(F.concat(F.lit("."), F.col("__end"))))
+    if guild:
+        found = ends.join(d.filter(F.col(guild).isNull()).drop(guild), "__end").unionByName(ends.join(d, ["__end", guild]))
+    else:
+        found = ends.join(d, "__end")
+    best = found.groupBy(*own).agg(F.min(F.struct("priority", "__end", "platform_slug"))["platform_slug"].alias("platform_slug"))
+    best = best.withColumnsRenamed({c: f"__of_{c}" for c in own})
+    same = F.col("__host") == F.col("__of___host")
+    if guild:
+        same = same & F.col(guild).eqNullSafe(F.col(f"__of_{guild}"))
+    out = out.join(best, same, "left").drop("__host", *[f"__of_{c}" for c in own])
+    return out if keep_unmatched else out.filter("platform_slug is not null")

@@ -28,7 +28,7 @@ def scored_batch(spark, sf):
     return S.score_postings(keyed_postings(spark, sf), POSTINGS_NOW)
 
 
-def _j3_sql(old: str | None = None) -> str:
+def _j3_sql(old: str | None = None, then: str = " SELECT * FROM j3") -> str:
     """Acceptance in rounds over all match pairs; rows that fulfil ``old`` are the catalog, before all others."""
     from harrow.plans.suite_dedup import matches_sql
     from harrow.plans.suite_text import _score_oracle
@@ -46,10 +46,10 @@ st AS (
   WHERE (SELECT count(*) FROM st WHERE s = 'U') > 0),
 done AS MATERIALIZED (SELECT ord, s FROM st WHERE round = (SELECT max(round) FROM st)),
 hit AS (SELECT p.new_ord, arg_min(c.ord, {place}) AS t, arg_min(p.rule, {place}) AS rule
-  FROM p JOIN done c ON c.ord = p.cand_ord AND c.s = 'A' GROUP BY p.new_ord)
-SELECT b.ord, b.s = 'A' AS accepted, b.s = 'D' AS is_duplicate, hit.t AS target_ord, {is_old['c'].replace('c.ord', 'hit.t')} AND hit.t IS NOT NULL AS in_catalog,
+  FROM p JOIN done c ON c.ord = p.cand_ord AND c.s = 'A' GROUP BY p.new_ord),
+j3 AS (SELECT b.ord, b.s = 'A' AS accepted, b.s = 'D' AS is_duplicate, hit.t AS target_ord, {is_old['c'].replace('c.ord', 'hit.t')} AND hit.t IS NOT NULL AS in_catalog,
   (['dedup_key', 'platform_job_id', 'canonical_url', 'content_hash', 'company_title', 'fuzzy_title_desc', 'fuzzy_title'])[hit.rule] AS reason
-FROM done b LEFT JOIN hit ON hit.new_ord = b.ord AND b.s = 'D' WHERE NOT {is_old['b']}""", "d_postings").replace("WITH ", "WITH RECURSIVE ", 1)
+FROM done b LEFT JOIN hit ON hit.new_ord = b.ord AND b.s = 'D' WHERE NOT {is_old['b']}){then}""", "d_postings").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @register("j3_dedup_batch", _j3_sql())
@@ -249,20 +249,92 @@ def s7(spark, sf):
     return M.outbox(sent, cat.select("ord", "posted", "score", "status"), POSTINGS_NOW).select("ord", "posted", "posted_at")
 
 
-@register("m6_stream_catalog")
-def m6(spark, sf):
-    """The scan stream over postings that land twice; returns the final catalog."""
+@register("s7b_announce_once", with_views("""
+WITH p AS (SELECT ord % 5 AS guild_id, ord FROM d_catalog WHERE NOT posted AND status = 'active' AND score >= 0.55)
+SELECT guild_id, ord, CASE WHEN ord % 2 = 0 THEN 1 ELSE 2 END AS run FROM p""", "d_catalog"))
+def s7b(spark, sf):
+    """Two runs, each retried after its commit: the first announces half of the pending rows, the second finds all pending."""
+    import uuid
+
+    from harrow.operators.store import Store
+    from harrow.session import checkpoint_dir
+    store = Store(spark, f"{checkpoint_dir(spark).rstrip('/')}/s7-{uuid.uuid4().hex}", M.OUTBOX, 4)
+    rows = derived(spark, sf, "d_catalog").filter("NOT posted AND status = 'active' AND score >= 0.55").select(
+        (F.col("ord") % 5).alias("guild_id"), "ord")
+    M.announce(store, rows.filter("ord % 2 = 0"), "1")
+    first = M.announce(store, rows, "1")
+    M.announce(store, rows, "2")
+    second = M.announce(store, rows, "2")
+    return first.withColumn("run", F.lit(1)).unionByName(second.withColumn("run", F.lit(2)))
+
+
+_M6_EVENTS = """,
+e AS (SELECT j.ord, coalesce(t.dk, b.dk) AS dedup_key, b.ch AS content_hash, p.title, p.description, p.url AS raw_url, j.accepted
+  FROM j3 j JOIN base b ON b.ord = j.ord JOIN d_postings p ON p.ord = j.ord LEFT JOIN base t ON t.ord = j.target_ord
+  WHERE j.accepted OR j.is_duplicate),
+e1 AS (SELECT *, lag(content_hash) OVER w AS prev FROM e WINDOW w AS (PARTITION BY dedup_key ORDER BY ord)),
+e2 AS (SELECT *, NOT accepted AND content_hash <> prev AS changed,
+  last_value(CASE WHEN accepted THEN coalesce(nullif(title, ''), '(untitled)') WHEN content_hash <> prev THEN nullif(title, '') END IGNORE NULLS) OVER w AS cur_title,
+  last_value(CASE WHEN accepted THEN description WHEN content_hash <> prev THEN nullif(description, '') END IGNORE NULLS) OVER w AS cur_description
+  FROM e1 WINDOW w AS (PARTITION BY dedup_key ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+e3 AS (SELECT *, lag(cur_title) OVER w AS prev_title, lag(cur_description) OVER w AS prev_description
+  FROM e2 WINDOW w AS (PARTITION BY dedup_key ORDER BY ord)),
+f AS (SELECT dedup_key, arg_max(content_hash, ord) AS content_hash, arg_max(cur_title, ord) AS title,
+  arg_max({'d': cur_description}, ord).d AS description FROM e3 GROUP BY dedup_key)"""
+
+_TERM = "CASE " + " ".join(f"WHEN contains({x}, '2027') AND contains(lower({x}), '{t.lower()}') THEN '{t}'" for x in ("p.title", "p.description")
+                           for t in ("Summer 2027", "Winter 2027", "Fall 2027", "Spring 2027")) + " END"
+_STREAMED: dict[tuple[str, str], str] = {}
+
+
+def streamed(spark, sf):
+    """The store after the scan stream over postings that land in two parts, the second with a compaction; run once a session."""
     import uuid
 
     from harrow.session import checkpoint_dir
-    from harrow.streaming.catalog_stream import stream_catalog
-    root = f"{checkpoint_dir(spark).rstrip('/')}/m6-{uuid.uuid4().hex}"
-    posts = derived(spark, sf, "d_postings")
-    mid = posts.agg(F.percentile_approx("ord", 0.5)).first()[0]
-    for name, part in (("a", F.col("ord") <= mid), ("b", F.col("ord") > mid)):
-        posts.filter(part).write.parquet(f"{root}/landed/{name}")
-        catalog_root = stream_catalog(spark, f"{root}/landed/*", posts.schema, root, POSTINGS_NOW)
-    return M.read_run(spark, catalog_root, "catalog").select("dedup_key", "ord", "title", "score", "status")
+    from harrow.streaming.catalog_stream import catalog_store, stream_catalog
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STREAMED:
+        root = f"{checkpoint_dir(spark).rstrip('/')}/m6-{uuid.uuid4().hex}"
+        posts = derived(spark, sf, "d_postings")
+        mid = posts.agg(F.percentile_approx("ord", 0.5)).first()[0]
+        for name, part in (("a", F.col("ord") <= mid), ("b", F.col("ord") > mid)):
+            posts.filter(part).write.parquet(f"{root}/landed/{name}")
+            stream_catalog(spark, f"{root}/landed/*", posts.schema, root, POSTINGS_NOW, buckets=8)
+        _STREAMED[key] = f"{root}/catalog"
+    return catalog_store(spark, _STREAMED[key], 8)
+
+
+@register("m6_stream_catalog", _j3_sql(then=_M6_EVENTS + f"""
+SELECT f.dedup_key, j.ord, coalesce(nullif(b.canonical_url, ''), p.url) AS canonical_url, p.url, f.title, p.company, b.nc AS normalized_company,
+  p.platform_slug, p.external_job_id, f.content_hash, f.description, p.location, s.score, CASE WHEN p.is_expired THEN 'expired' ELSE 'active' END AS status,
+  {_TERM} AS internship_term, CAST(p.posting_date AS TIMESTAMP) AS posted_at, s.matched_keywords,
+  TIMESTAMP '1998-06-15 00:00:00' AS last_seen_at
+FROM j3 j JOIN base b ON b.ord = j.ord JOIN d_postings p ON p.ord = j.ord JOIN f ON f.dedup_key = b.dk JOIN sc s ON s.ord = j.ord
+WHERE j.accepted"""))
+def m6(spark, sf):
+    """The catalog after the stream."""
+    return streamed(spark, sf).rows("catalog").drop("remote_status", "employment_type", "salary", "breakdown", "first_seen_at").withColumn(
+        "matched_keywords", F.array_join("matched_keywords", ","))
+
+
+@register("m6b_stream_versions", _j3_sql(then=_M6_EVENTS + """
+SELECT dedup_key, ord, prev AS content_hash, prev_title AS title, prev_description AS description FROM e3 WHERE changed"""))
+def m6b(spark, sf):
+    return streamed(spark, sf).rows("versions")
+
+
+@register("m6c_stream_sources", _j3_sql(then=_M6_EVENTS + """
+SELECT dedup_key, raw_url, min(ord) AS first_ord FROM e GROUP BY dedup_key, raw_url"""))
+def m6c(spark, sf):
+    return streamed(spark, sf).rows("sources").select("dedup_key", "raw_url", "first_ord")
+
+
+@register("m6d_stream_categories", _j3_sql(then="""
+SELECT DISTINCT b.dk AS dedup_key, unnest(string_split(sc.categories, ',')) AS category FROM j3 j JOIN base b ON b.ord = j.ord JOIN sc ON sc.ord = j.ord
+WHERE j.accepted AND sc.categories <> ''"""))
+def m6d(spark, sf):
+    return streamed(spark, sf).rows("categories")
 
 
 @register("s5_join_pages", with_views("""

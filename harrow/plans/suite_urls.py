@@ -66,3 +66,25 @@ def p5(spark, sf):
     pages = read_table(spark, sf, "pages").select(F.lit("page").alias("src"), F.col("page_id").alias("id"), "url")
     posts = derived(spark, sf, "d_postings").select(F.lit("posting").alias("src"), F.col("ord").alias("id"), "url")
     return U.resolve_platform(pages.unionByName(posts), company_domains=COMPANY_DOMAINS)
+
+
+_PLATFORM_ROWS = ", ".join(f"('{d}', '{slug}', {k})" for k, (slug, domains) in enumerate(POSTING_PLATFORMS) for d in domains)
+
+
+@register("p5b_platform_by_guild", with_views(f"""
+WITH u AS (SELECT 'page' AS src, page_id AS id, url, page_id % 4 AS guild_id FROM pages UNION ALL SELECT 'posting', ord, url, ord % 4 FROM d_postings),
+h AS (SELECT *, {host_sql('url')} AS host FROM u),
+own AS (SELECT DISTINCT page_id % 4 AS guild_id, substr({host_sql('url')}, 2) AS domain FROM pages WHERE page_id % 3 = 0),
+d(domain, platform_slug, priority, guild_id) AS (
+  SELECT *, NULL FROM (VALUES {_PLATFORM_ROWS}) UNION ALL SELECT domain, 'company', 1000, guild_id FROM own WHERE domain <> ''),
+m AS (SELECT host, h.guild_id, arg_min(platform_slug, priority) AS platform_slug FROM (SELECT DISTINCT host, guild_id FROM h WHERE host <> '') h
+  JOIN d ON suffix(host, domain) AND (d.guild_id IS NULL OR d.guild_id = h.guild_id) GROUP BY host, h.guild_id)
+SELECT src, id, url, h.guild_id, platform_slug FROM h JOIN m ON m.host = h.host AND m.guild_id = h.guild_id""", "d_postings"))
+def p5b(spark, sf):
+    """Company domains of each guild as rows: hosts of a third of its pages without their first letter, so bare suffixes count."""
+    pages = read_table(spark, sf, "pages").select(F.lit("page").alias("src"), F.col("page_id").alias("id"), "url", (F.col("page_id") % 4).alias("guild_id"))
+    posts = derived(spark, sf, "d_postings").select(F.lit("posting").alias("src"), F.col("ord").alias("id"), "url", (F.col("ord") % 4).alias("guild_id"))
+    own = U.url_hosts(pages.filter("id % 3 = 0")).select(F.expr("substring(host, 2)").alias("domain"), F.lit("company").alias("platform_slug"),
+                                                         F.lit(1000).alias("priority"), "guild_id").distinct()
+    declared = U.platform_domains(spark).withColumn("guild_id", F.lit(None).cast("bigint"))
+    return U.resolve_platform_by_table(pages.unionByName(posts), declared.unionByName(own), guild="guild_id")

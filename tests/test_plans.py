@@ -7,7 +7,8 @@ from harrow.session import checkpoint_dir
 from tests.conftest import SF_SMALL
 
 # queries that run jobs while being built (checkpoints, streams, writes)
-BUILD_RUNS_JOBS = {"j3_dedup_batch", "j3b_dedup_catalog", "m1_merge_new", "m4_merge_categories", "m6_stream_catalog",
+BUILD_RUNS_JOBS = {"j3_dedup_batch", "j3b_dedup_catalog", "m1_merge_new", "m4_merge_categories", "m6_stream_catalog", "s7b_announce_once", "t9_gate", "m6b_stream_versions",
+                   "m6c_stream_sources", "m6d_stream_categories",
                    "s6_snapshot_roundtrip", "j1_dedup_candidates", "j2_match_pairs"}
 PYTHON_OK = {"p8_page_text", "p9_text_snippets", "p10_jsonld_postings", "p11_page_metadata", "p12_extract_postings",
              "f3_evaluate_expiry", "m7_mark_expired"}

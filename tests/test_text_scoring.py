@@ -72,3 +72,37 @@ def test_threshold_edge_exact(spark):
     # internship + software + unknown date sums to exactly the default threshold
     r = score(spark, [(1, "intern", "software", None, None, "company", None, False)])[1]
     assert r["score"] == 0.55 and r["is_relevant"]
+
+
+def test_dictionary_join_equals_the_regex_form(spark):
+    import random
+
+    from harrow.operators import scoring as S
+    rng = random.Random(5)
+    marks = ["c++", "c#", ".net", "node.js", "full-stack", "a b", "a, b", "b+", "+b", "ab", "a", "é", "caf", "machine learning", "r", "-a", "a-", "x1 y2 z3 w4 v5"]
+    pieces = marks + [" ", ",", "+", "++", "-", ".", "#", "B", "A", "1", "é", "x1 y2 z3 w4 v5 u6", "  "]
+    rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.randrange(9)))) for i in range(400)] + [(1000, None), (1001, "")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    want = {r.id: list(r.matched) for r in S.tag_keywords(df, "text", marks).collect()}
+    terms = spark.createDataFrame([(m,) for m in marks], "term string")
+    found = S.tag_keywords_by_table(df, "text", terms)
+    assert {r.id: list(r.matched) for r in found.collect()} == {
+        i: [t for t in w if t != "é"] for i, w in want.items()}  # a term without [a-z0-9] matches nothing
+    many = terms.unionByName(spark.range(100_000).selectExpr("concat('zz', id, ' q') as term"))
+    assert S.tag_keywords_by_table(df, "text", many).filter("size(matched) > 0").count() == sum(any(t != "é" for t in w) for w in want.values())
+
+
+def test_platform_by_table(spark):
+    from harrow.operators import urls as U
+    df = spark.createDataFrame([(1, "https://jobs.lever.co/x", 1), (2, "https://notjobs.lever.co/x", 1), (3, "https://jobs.acme.com", 1),
+                                (4, "https://jobs.acme.com", 2), (5, "https://d77.example.com/", None), (6, None, 1), (7, "nothing", 1)],
+                               "id long, url string, guild_id long")
+    own = spark.createDataFrame([(" Acme.com ", "company", 100, 1), ("co", "other", 200, None)], "domain string, platform_slug string, priority int, guild_id long")
+    many = spark.range(100_000).selectExpr("concat('d', id, '.example.com') as domain", "'big' as platform_slug", "300 as priority", "cast(null as long) as guild_id")
+    table = U.platform_domains(spark).selectExpr("*", "cast(null as long) as guild_id").unionByName(own).unionByName(many)
+    found = U.resolve_platform_by_table(df, table, guild="guild_id", keep_unmatched=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert {r.id: r.platform_slug for r in found.collect()} == {1: "lever", 2: "lever", 3: "company", 4: None, 5: "big", 6: None, 7: None}
+    strict = U.resolve_platform_by_table(df, table, guild="guild_id", dot_boundary=True)
+    assert {r.id: r.platform_slug for r in strict.collect()} == {1: "lever", 2: "other", 3: "company", 5: "big"}
