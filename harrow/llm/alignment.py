@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from harrow.llm.common import materialize, prepare_python
 from harrow.llm.piece_bpe import MARKS, SPACE, PieceModel
+from harrow.llm.pretokens import byte_symbols
 
 #: A chunk is closed when it holds so many (document, pair) entries or documents; one document is never split.
 CHUNK_ENTRIES, CHUNK_DOCS = 1_000_000, 20_000
@@ -146,11 +147,9 @@ NO_TOKENS = Document(0, 0, 0, 0, 0, "", _LONGS, _LONGS)
 
 
 def bytes_of_ids(tokenizer) -> list[bytes]:
-    """The bytes of every id of a byte-level tokenizer: printable Latin-1 stands for itself, the rest for 256 and up."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    shifted = sorted(set(range(256)).difference(printable))
-    byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(shifted)}
-    names = map(tokenizer.id_to_token, range(tokenizer.get_vocab_size()))
+    """The bytes of every id of a byte-level tokenizer (tokens with other characters stand for themselves)."""
+    names = [tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size())]
+    byte_of = {names[i]: b for b, i in enumerate(byte_symbols(tokenizer.get_vocab()))}
     return [bytes(byte_of[c] for c in name) if byte_of.keys() >= set(name) else name.encode() for name in names]
 
 

@@ -5,15 +5,17 @@ of full length are sequences of their own.  Every other piece goes into the open
 sequence, or a new one, after which the squared numbers of open sequences per
 residual gap sum to the least.
 
-Pieces are dealt to shards of about SHARD_DOCS documents by a hash, and each
-shard is packed by one task, independently: a few kilobytes of state and a few
-dozen bytes per piece, whatever the size of the input.  A shard leaves a few
-unfilled sequences at its end, a share of under one in a thousand.
+A document has one piece at most that is shorter.  These are dealt to shards of
+about SHARD_DOCS by a hash of their row number, so copies of one row spread like
+any others, and each shard is packed by one task, independently: a few kilobytes
+of state and a few dozen bytes per piece, whatever the size of the input.  A
+shard leaves a few unfilled sequences at its end, under one in a thousand.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import prepare_python
-from harrow.llm.pretokens import PieceReader
+from harrow.llm.common import materialize, prepare_python
+from harrow.llm.pretokens import PieceReader, byte_symbols
 
 CAPACITY, END_ID = 1024, 2
 SHARD_DOCS = 100_000
+#: Sequence ids of full pieces begin here; those of shards are below.
+FULL = 1 << 62
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -38,10 +42,18 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.reader = PieceReader(specials, self._ids, self._ids, self._ids)
+        self.reader = PieceReader(specials, self._word, self._ids, self._ids)
+        vocab, self.model = self.tokenizer.get_vocab(), self.tokenizer.model
+        name = {i: token for token, i in vocab.items()}
+        self.letters = {b: name[i] for b, i in enumerate(byte_symbols(vocab))}
+
+    def _word(self, word: str) -> bytes:
+        """A plain word is one pre-token: the library's model alone, without its other steps, gives its ids."""
+        letters = "".join(map(self.letters.__getitem__, word.encode()))
+        return array("I", [token.id for token in self.model.tokenize(letters)]).tobytes()
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         return b"".join(self.reader.results(text))
@@ -71,8 +83,9 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", tex
         encoder, end = _encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(t.as_py() or "") + end
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for i, t in zip(batch.column(0).to_pylist(), texts):
+                ids = encoder.encode(t) + end
                 for k, (a, b) in enumerate(cuts(len(ids) // 4, capacity)):
                     part = ids[4 * a:4 * b]
                     for column, value in zip(rows, (i, k, a, b - a, zlib.crc32(part), part if with_ids else None)):
@@ -126,18 +139,24 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids on request).
 
     Null texts are empty documents of ``end_id`` alone.  Repeated rows and
-    repeated or null doc_ids are documents of their own.  An empty table gives an
-    empty table.  Sequence ids are shard << 40 plus the place in the shard.
-    Within a shard, pieces are packed from the longest to the shortest, equal
-    ones by hash, so a task that runs again packs alike.
+    repeated or null doc_ids are documents of their own; however often a row is
+    repeated, its pieces lie in all shards alike.  An empty table gives an empty
+    table.  Sequence ids are shard << 40 plus the place in the shard, those of
+    full pieces FULL plus a row number.  Within a shard, pieces are packed from
+    the longest to the shortest, equal ones by id and checksum, so a task that runs again
+    packs alike.
 
     One count over the rows (no text is read) gives the number of shards; the
-    only shuffle carries the piece rows.
+    only shuffle carries the rows of shorter pieces.
     """
     n = docs.count()
     shards = max(1, -(-n // shard_docs))
     found = tokenize_pieces(docs, tokenizer, doc_id, text, end_id, capacity, with_ids)
-    found = found.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("long"))
+    found = materialize(found.withColumn("row", F.monotonically_increasing_id()))
+    schema = PIECES + (", ids binary" if with_ids else "") + ", sequence_id long, offset long"
+    full = found.where(F.col("length") == capacity).withColumn("sequence_id", F.col("row") + FULL).withColumn(
+        "offset", F.lit(0).cast("long")).drop("row")
+    short = found.where(F.col("length") < capacity).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("long")).drop("row")
 
     def run(table: pa.Table) -> pa.Table:
         length = table.column("length").to_numpy()
@@ -149,5 +168,4 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         return (table.drop_columns(["shard"]).append_column("sequence_id", pa.array(sequence + shard))
                      .append_column("offset", pa.array(offset)))
 
-    schema = PIECES + (", ids binary" if with_ids else "") + ", sequence_id long, offset long"
-    return found.groupBy("shard").applyInArrow(run, schema)
+    return full.unionByName(short.groupBy("shard").applyInArrow(run, schema))

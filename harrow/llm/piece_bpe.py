@@ -27,14 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harrow.llm.agenda import PairTable
 from harrow.llm.common import prepare_python
-from harrow.llm.pretokens import CACHE_ENTRIES, MARKS, Cache
+from harrow.llm.pretokens import MARKS, Cache
 
 SPACE = "▁"
 #: Segments of up to so many symbols are merged together.
 FEW = 40
-#: The rank of a pair that joins to no piece.
-NEVER = 1 << 60
 
 
 def _each_byte(error: UnicodeDecodeError) -> tuple[str, int]:
@@ -45,15 +44,6 @@ def _each_byte(error: UnicodeDecodeError) -> tuple[str, int]:
 codecs.register_error("harrow-each-byte", _each_byte)
 
 
-class _Known(Cache):
-    def keep(self, segment: str, ids: bytes) -> None:
-        """Remember without asking ``make``."""
-        if len(self) >= CACHE_ENTRIES:
-            self.old = dict(self)
-            self.clear()
-        self[segment] = ids
-
-
 class PieceModel:
     """The vocabulary of the sentencepiece model file at ``path``, with its own encoder and decoder.
 
@@ -77,15 +67,15 @@ class PieceModel:
         self.rank = {p: order[lib.get_score(i)] for p, i in self.id_of.items() if len(p) > 1}
         # for many short segments at once: numbers of pieces and characters, and what two numbers join to
         number = dict(self.id_of)
-        for c in sorted({c for p in self.rank for c in p}):
-            number.setdefault(c, len(names) + len(number))
+        self.inner = {c for p in self.rank for c in p if c not in number}  # characters only inside of pieces
+        for c in sorted(self.inner):
+            number[c] = len(names) + len(number)
         self.number = np.full(0x110000, -1, np.int64)
         for c in filter(lambda p: len(p) == 1, number):
             self.number[ord(c)] = number[c]
         joins = {number[p[:k]] << 20 | number[p[k:]]: r << 20 | number[p] for p, r in self.rank.items()
                  for k in range(1, len(p)) if p[:k] in number and p[k:] in number}
-        self.pairs = np.array(sorted(joins), np.int64)
-        self.joined_to = np.array([*map(joins.get, self.pairs.tolist()), NEVER], np.int64)
+        self.joins = PairTable(joins)
         often = Counter(self.rank.values())
         tied = {p for p, r in self.rank.items() if often[r] > 1}
         #: pieces of equal score, without those that hold another: their order is left to the heap
@@ -105,7 +95,7 @@ class PieceModel:
         #: whether no piece reaches over a space into what stands before it, nor over a line feed
         self.closed = not any(b == SPACE != a for a, b in self.joined) and not any("\n" in pair for pair in self.joined)
         self.cutter = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+") if self.closed else re.compile(".+", re.S)
-        self.known, self.spaced_words = _Known(self._segment), _Known(lambda word: self._segment(SPACE + word))
+        self.known, self.spaced_words = Cache(self._segment), Cache(lambda word: self._segment(SPACE + word))
 
     def merge(self, text: str) -> list[int]:
         """Ids of symbols (spaces as SPACE already) by an agenda of adjacent pairs."""
@@ -113,60 +103,17 @@ class PieceModel:
         return [i for s, known in found for i in ((known,) if known is not None else map(self.of_byte.__getitem__, s.encode()))]
 
     def merge_each(self, texts: Sequence[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of many short segments; all agendas advance together.
-
-        The agenda of a segment is the stretch of one array with the ranks of its
-        adjacent pairs.  In each round the best pair of every segment is popped
-        and joined; segments whose agenda is empty are done.
-        """
+        """Little-endian 32-bit ids of many segments; the agendas of short ones advance together."""
         out: list[bytes | None] = [None] * len(texts)
-        fit = [k for k, t in enumerate(texts) if 0 < len(t) <= FEW and not any(x in t for x in self.tied)]
+        fit = [k for k, t in enumerate(texts) if 0 < len(t) <= FEW and not any(x in t for x in self.tied) and self.inner.isdisjoint(t)]
         symbol = self.number[np.frombuffer("".join([texts[k] for k in fit]).encode("utf-32-le"), "<u4")]
-        size = np.array([len(texts[k]) for k in fit], np.int64)
-        owner = np.repeat(np.array(fit, np.int64), size)
-        agenda = self._looked_up(symbol[:-1], symbol[1:], owner[:-1] != owner[1:])
-        while len(symbol):
-            begin = np.flatnonzero(np.diff(owner, prepend=-1))
-            size = np.diff(begin, append=len(symbol))
-            best = np.minimum.reduceat(agenda, begin)
-            done = best == NEVER
-            if done.any():
-                gone = np.repeat(done, size)
-                self._give(out, owner[gone], symbol[gone])
-                symbol, owner, agenda = symbol[~gone], owner[~gone], agenda[~gone]
-                size, best = size[~done], best[~done]
-                if not len(symbol):
-                    break
-            # every best entry is the only one of its number, or the leftmost is taken
-            at = np.flatnonzero(agenda == np.repeat(best, size))
-            at = at[np.diff(owner[at], prepend=-1) != 0]
-            symbol[at] = best & 0xFFFFF
-            kept = np.ones(len(symbol), bool)
-            kept[at + 1] = False
-            agenda[at + 1] = agenda[at]
-            place = at - np.arange(len(at))
-            symbol, owner, agenda = symbol[kept], owner[kept], agenda[kept]
-            for i in (place, place[place > 0] - 1):
-                j = np.minimum(i + 1, len(symbol) - 1)
-                agenda[i] = self._looked_up(symbol[i], symbol[j], (owner[i] != owner[j]) | (i == j))[:len(i)]
+        owner = np.repeat(np.array(fit, np.int64), np.array([len(texts[k]) for k in fit], np.int64))
+        for owners, found, strange in self.joins.merge(symbol, owner):
+            for k, ids, bad in zip(owners, found, strange):
+                if not bad:  # a character that is no piece is left to ``merge``
+                    out[k] = ids
         return [array("i", self.merge(t)).tobytes() if x is None else x for t, x in zip(texts, out)]
 
-    def _looked_up(self, left: np.ndarray, right: np.ndarray, apart: np.ndarray) -> np.ndarray:
-        """What pairs join to, NEVER where they stand ``apart``; one more entry ends the last segment."""
-        key = np.where(apart, -1, left << 20 | right)
-        at = np.searchsorted(self.pairs, key)
-        at[at == len(self.pairs)] = 0
-        return np.append(np.where(self.pairs[at] == key, self.joined_to[at], NEVER), NEVER)
-
-    def _give(self, out: list[bytes | None], owner: np.ndarray, symbol: np.ndarray) -> None:
-        """Finished segments to their places; those with characters that are no pieces are left to ``merge``."""
-        data = symbol.astype("<i4").tobytes()
-        edges = np.flatnonzero(np.diff(owner, prepend=-1, append=-1)).tolist()
-        strange = set(owner[(symbol < 0) | (symbol >= len(self.surface))].tolist())
-        for k, a, b in zip(owner[edges[:-1]].tolist(), edges, edges[1:]):
-            if k not in strange:
-                out[k] = data[4 * a:4 * b]
-
     def _merged(self, text: str) -> list[str]:
         """The agenda is a heap of (rank, place), the symbols a linked list."""
         symbol: list[str] = list(text)
@@ -211,7 +158,7 @@ class PieceModel:
         """Symbols cut where nothing can be joined across."""
         return self.cutter.findall(symbols)
 
-    def _runs(self, text: str) -> list[tuple[_Known, list[str]]]:
+    def _runs(self, text: str) -> list[tuple[Cache, list[str]]]:
         """A text as runs of segments; those of ``spaced_words`` have a space before them."""
         if not text:
             return []
@@ -232,13 +179,12 @@ class PieceModel:
                 out.append((self.spaced_words, line.split(" ")))
         return out
 
-    def _learn(self, cache: _Known, words: set[str]) -> None:
+    def _learn(self, cache: Cache, words: set[str]) -> None:
         """Merge all new words together; a closing mark that nothing joins is left to ``make``."""
         cut = {w[:-1] if w and w[-1] in MARKS and (w[-2:-1] or SPACE, w[-1]) not in self.joined else w for w in words}
         space = SPACE if cache is self.spaced_words else ""
         new = [w for w in cut if (w or space) and len(w) < FEW and w not in cache and w not in cache.old]
-        for word, ids in zip(new, self.merge_each([space + w for w in new])):
-            cache.keep(word, ids)
+        cache.learn(new, self.merge_each([space + w for w in new]))
 
     def encode_all(self, texts: Sequence[str]) -> list[np.ndarray]:
         """All ids of each text, without begin or end; none for an empty text."""

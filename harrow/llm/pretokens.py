@@ -10,7 +10,7 @@ result (a count or ids, anything that ``+`` joins) is kept in a bounded cache.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from typing import TypeVar
 
 T = TypeVar("T", int, bytes)
@@ -36,12 +36,23 @@ class Cache(dict):
         if out is None:
             out = self.make(piece)
         if len(piece) <= CACHE_LENGTH:
-            if len(self) >= CACHE_ENTRIES:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = out
+            self.learn((piece,), (out,))
         return out
 
+    def learn(self, pieces: Iterable[str], results: Sequence) -> None:
+        """Remember results without asking ``make``."""
+        if len(self) + len(results) > CACHE_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        self.update(zip(pieces, results))
+
+
+def byte_symbols(vocab: dict[str, int]) -> list[int]:
+    """The symbol of each byte: printable Latin-1 characters stand for themselves, the others for 256 and up in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    shifted = iter(range(256, 512))
+    return [vocab[chr(b if b in printable else next(shifted))] for b in range(256)]
+
 
 def segments(text: str, specials: Sequence[str]) -> list[str]:
     """The text cut at special tokens, which stand as items of their own (longest first where they overlap)."""
@@ -52,7 +63,7 @@ def segments(text: str, specials: Sequence[str]) -> list[str]:
 
 
 def is_word(piece: str) -> bool:
-    return piece.isalpha() and max(piece) < SETTLED
+    return piece.isalpha() and (piece.isascii() or max(piece) < SETTLED)
 
 
 class PieceReader:

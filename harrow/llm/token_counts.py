@@ -18,14 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm.common import prepare_python
-from harrow.llm.pretokens import PieceReader
-
-
-def _byte_symbols(vocab: dict[str, int]) -> list[int]:
-    """The symbol of each byte: printable Latin-1 characters stand for themselves, the others for 256 and up in order."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    shifted = iter(range(256, 512))
-    return [vocab[chr(b if b in printable else next(shifted))] for b in range(256)]
+from harrow.llm.pretokens import PieceReader, byte_symbols
 
 
 class MergeCounter:
@@ -43,7 +36,7 @@ class MergeCounter:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[left] << 20 | vocab[right]] = rank << 20 | vocab[left + right]
         cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        self.of_byte = _byte_symbols(vocab)
+        self.of_byte = byte_symbols(vocab)
         specials = [t["content"] for t in spec["added_tokens"]]
         self.reader = PieceReader(
             specials, word=lambda w: self.merged([self.of_byte[b] for b in w.encode()]),

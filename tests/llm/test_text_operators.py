@@ -290,3 +290,19 @@ def test_passages_go_whole(spark):
 def test_passages_odd_and_empty_tables(spark):
     assert line_dedup.dedup_passages(odd_docs(spark)).count() == len(odd_rows())
     assert line_dedup.dedup_passages(no_docs(spark)).count() == 0
+
+
+def test_equal_rows_spread_over_shards(spark):
+    docs = spark.createDataFrame([(7, "the same words")] * 3000, "doc_id long, text string").repartition(4)
+    rows = packing.pack(docs, TOKENIZER, shard_docs=1000).select("sequence_id", "length").collect()
+    shards = Counter(r.sequence_id >> 40 for r in rows)
+    assert len(shards) == 3 and max(shards.values()) < 1150
+    assert len({r.sequence_id for r in rows}) <= 3 * (1 + 1000 * rows[0].length // 1000)
+
+
+def test_full_pieces_are_sequences_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "a b " * 3000), (1, "a b " * 3000)], "doc_id long, text string")
+    rows = packing.pack(docs, TOKENIZER).collect()
+    full = [r for r in rows if r.length == 1024]
+    assert full and len({r.sequence_id for r in full}) == len(full) and all(r.offset == 0 and r.sequence_id >= packing.FULL for r in full)
+    check_packing(rows, [(1, "a b " * 3000)] * 2)
