@@ -20,8 +20,10 @@ and to fetch the counts.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import string
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
@@ -33,9 +35,10 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harrow.llm.agenda import PairTable
 from harrow.llm.common import materialize, prepare_python
-from harrow.llm.piece_bpe import MARKS, SPACE, PieceModel
-from harrow.llm.pretokens import byte_symbols
+from harrow.llm.piece_bpe import FEW, MARKS, SPACE, PieceModel
+from harrow.llm.pretokens import byte_symbols, is_word
 
 #: A chunk is closed when it holds so many (document, pair) entries or documents; one document is never split.
 CHUNK_ENTRIES, CHUNK_DOCS = 1_000_000, 20_000
@@ -161,6 +164,13 @@ class Aligner:
 
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True  # special strings in a text are plain text
+        with open(path_a, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, joins = model["vocab"], {}
+        for rank, pair in enumerate(model["merges"]):
+            left, right = pair.split(" ") if isinstance(pair, str) else pair
+            joins[vocab[left] << 20 | vocab[right]] = rank << 20 | vocab[left + right]
+        self.joins, self.of_byte = PairTable(joins), np.array(byte_symbols(vocab), np.int64)
         self.b = PieceModel(path_b)
         self.bytes_a, self.bytes_b = bytes_of_ids(self.a), self.b.surface
         self.sizes_a, self.sizes_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
@@ -174,29 +184,48 @@ class Aligner:
         self.place: dict[str, int] = {}
         self.known = NO_SEGMENTS
 
-    def ids(self, segments: Sequence[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A and B for stretches of text that have their space in front already."""
-        encoded = self.a.encode_batch_fast(list(segments), add_special_tokens=False)
-        # segments stand for themselves here, so B's own cache isn't asked
+    def _ids_a(self, segments: Sequence[str]) -> list[bytes]:
+        """Ids of A as 32-bit numbers; plain words are one pre-token each and merged together, the library reads the rest."""
+        out: list[bytes | None] = [None] * len(segments)
+        data = {k: s.encode() for k, s in enumerate(segments) if len(s) <= FEW and is_word(s[1:] if s[:1] == " " else s)}
+        owner = np.repeat(np.fromiter(data, np.int64, len(data)), np.fromiter(map(len, data.values()), np.int64, len(data)))
+        for owners, ids, _ in self.joins.merge(self.of_byte[np.frombuffer(b"".join(data.values()), np.uint8)], owner):
+            for k, x in zip(owners, ids):
+                out[k] = x
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, e in zip(rest, self.a.encode_batch_fast([segments[k] for k in rest], add_special_tokens=False)):
+            out[k] = array("i", e.ids).tobytes()
+        return out
+
+    def _ids_b(self, segments: Sequence[str]) -> list[bytes]:
+        """Ids of B as 32-bit numbers; segments stand for themselves here, so B's own cache isn't asked."""
         parts = [self.b.segments(s.replace(" ", SPACE)) for s in segments]
-        flat = self.b.merge_each(list(chain.from_iterable(parts)))
-        joined, k = [], 0
+        flat, out, k = self.b.merge_each(list(chain.from_iterable(parts))), [], 0
         for own in parts:
-            joined.append(np.frombuffer(flat[k] if len(own) == 1 else b"".join(flat[k:k + len(own)]), np.int32).tolist())
+            out.append(flat[k] if len(own) == 1 else b"".join(flat[k:k + len(own)]))
             k += len(own)
-        return [e.ids for e in encoded], joined
+        return out
+
+    def _same(self, ids: list[bytes], content: list[bytes], surface: list[bytes]) -> np.ndarray:
+        """Whether the bytes of the tokens are those of the segment."""
+        tokens = list(map(surface.__getitem__, np.frombuffer(b"".join(ids), np.int32).tolist()))
+        edges = np.concatenate(([0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)))
+        size = np.concatenate(([0], np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))))
+        fits = np.diff(size[edges]) == np.fromiter(map(len, content), np.int64, len(content))
+        if fits.all() and b"".join(tokens) == b"".join(content):
+            return fits
+        edges = edges.tolist()
+        return np.array([b"".join(tokens[i:j]) == c for i, j, c in zip(edges, edges[1:], content)], bool)
 
     def multiply(self, segments: Sequence[str]) -> Segments:
-        """Alignments of segments, by products of block diagonal matrices."""
-        ids_a, ids_b = self.ids(segments)
-        content = [s.encode() for s in segments]
-        same = np.array([b"".join(map(self.bytes_a.__getitem__, x)) == c == b"".join(map(self.bytes_b.__getitem__, y))
-                         for x, y, c in zip(ids_a, ids_b, content)], bool)
+        """Alignments of segments that have their space in front already, by products of block diagonal matrices."""
+        ids_a, ids_b, content = self._ids_a(segments), self._ids_b(segments), [s.encode() for s in segments]
+        same = self._same(ids_a, content, self.bytes_a) & self._same(ids_b, content, self.bytes_b)
         if not same.all():
-            ids_a, ids_b = ([x if ok else [] for x, ok in zip(ids, same)] for ids in (ids_a, ids_b))
+            ids_a, ids_b = ([x if ok else b"" for x, ok in zip(ids, same.tolist())] for ids in (ids_a, ids_b))
         count = len(segments)
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, count) for x in (ids_a, ids_b))
-        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64, n.sum()) for x, n in ((ids_a, n_a), (ids_b, n_b)))
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, count) // 4 for x in (ids_a, ids_b))
+        flat_a, flat_b = (np.frombuffer(b"".join(x), np.int32).astype(np.int64) for x in (ids_a, ids_b))
         if not len(flat_a):
             return Segments(np.zeros((count, 5), np.int64), [""] * count, np.zeros(count + 1, np.int64), _LONGS, _LONGS, same)
         owner_a, owner_b = np.repeat(np.arange(count), n_a), np.repeat(np.arange(count), n_b)
