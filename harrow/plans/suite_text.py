@@ -122,7 +122,7 @@ _TERM_ROWS = ", ".join("('" + t.replace("'", "''") + "')" for t in (*T5_TERMS, "
 WITH h AS (SELECT doc_id, {hay_sql('text')} AS hay FROM documents),
 w AS (SELECT DISTINCT term FROM (
   SELECT lower(regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+')) AS term FROM benchmark UNION ALL SELECT * FROM (VALUES {_TERM_ROWS})) WHERE term <> ''),
-m AS (SELECT doc_id, term FROM h JOIN w ON contains(hay, term) AND regexp_matches(hay, '(^|[^a-z0-9])\Q' || term || '\E($|[^a-z0-9])'))
+m AS (SELECT doc_id, term FROM h JOIN w ON contains(hay, term) AND regexp_matches(hay, '(^|[^a-z0-9])\\Q' || term || '\\E($|[^a-z0-9])'))
 SELECT h.doc_id, coalesce(string_agg(term, ',' ORDER BY term), '') AS matched FROM h LEFT JOIN m ON m.doc_id = h.doc_id GROUP BY h.doc_id""")
 def t5b(spark, sf):
     """The dictionary as a table: the terms of t5, some with marks, and the first two words of every benchmark passage."""
