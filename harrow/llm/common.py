@@ -86,6 +86,24 @@ def crc_of(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores put before it until no column of ``df`` has that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def hashed_window(text: Column, most: int) -> Column:
+    """At most ``most`` neighbouring characters of ``text``, from a place that a hash of the whole text decides; null stays null."""
+    places = F.greatest(F.length(text) - most + 1, F.lit(1))
+    start = F.pmod(F.xxhash64(F.lit("window"), text), places.cast("long")).cast("int")
+    return F.substring(text, start + 1, F.lit(most))
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.pmod(crc_of(doc_id), F.lit(modulus)) == remainder
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm.common import ascii_lower
+from harrow.llm.common import ascii_lower, fresh
 
 #: What separates literal tokens in hosts and paths.
 TOKEN_BREAK = "[./]+"
@@ -91,12 +91,13 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, default: str = "
     """
     spark = pages.sparkSession
     pages = pages.drop("host", "path", "rule", "verdict")
+    own_url, best = fresh(pages, "_url", "_best")
     out = pages.withColumn("host", url_host(F.col(url))).withColumn("path", url_path(F.col(url)))
     if not rules:
         return out.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
     tokens = F.filter(F.array_distinct(F.split(F.concat("_host", F.lit("/"), "_path"), TOKEN_BREAK)), lambda t: t != "")
     seen = (pages.where(F.col(url).contains("://"))
-                 .select(F.col(url).alias("_url"), url_host(F.col(url)).alias("_host"), url_path(F.col(url)).alias("_path")))
+                 .select(F.col(url).alias(own_url), url_host(F.col(url)).alias("_host"), url_path(F.col(url)).alias("_path")))
     urls = seen.withColumn("token", F.explode(tokens))
     rows = _rule_rows(spark, rules)
     counts = urls.join(rows.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
@@ -105,9 +106,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, default: str = "
                  .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"].alias("token")))
     fits = (urls.join(index, "token")
                 .where(F.expr("concat(_host, '\n', _path) rlike pattern"))
-                .groupBy("_url")
-                .agg(F.max(F.struct("size", "rule", "verdict")).alias("_best")))
-    return (out.join(fits, F.col(url) == F.col("_url"), "left")
-               .withColumn("rule", F.col("_best.rule"))
-               .withColumn("verdict", F.coalesce(F.col("_best.verdict"), F.lit(default)))
-               .drop("_url", "_best"))
+                .groupBy(own_url)
+                .agg(F.max(F.struct("size", "rule", "verdict")).alias(best)))
+    return (out.join(fits, F.col(url) == F.col(own_url), "left")
+               .withColumn("rule", F.col(f"{best}.rule"))
+               .withColumn("verdict", F.coalesce(F.col(f"{best}.verdict"), F.lit(default)))
+               .drop(own_url, best))
