@@ -10,9 +10,10 @@ global order by another hash.  All of it is DataFrame functions.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.llm.common import materialize
@@ -20,8 +21,12 @@ from harrow.llm.common import materialize
 #: Production parameters: three named sources, every other one weighs 1.
 WEIGHTS = {"src0": 6.0, "src1": 2.0, "src2": 0.5}
 SEED = "mix-1"
-#: The distribution is tabulated up to mean + TAIL * sqrt(mean) + TAIL_LEAST copies; the mass beyond is under 2**-52.
+#: The distribution is tabulated from mean - TAIL * sqrt(mean) to mean + TAIL * sqrt(mean) + TAIL_LEAST copies; the mass outside is under 2**-52.
 TAIL, TAIL_LEAST = 12, 40
+#: Rates up to this are tabulated from 0 on; above, Stirling's series is exact to a double's last digits at every value in the table.
+SMALL_RATE = 1000
+#: Copies are exploded in blocks of this many, so that no array grows with a document's count.
+BLOCK = 1 << 16
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -52,29 +57,35 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float], default_weight:
                  .select("source", "n_docs", "n_bytes", "target_share", "rate"))
 
 
-def poisson_table(rate: Column) -> Column:
-    """The distribution function of Poisson(rate) at 0, 1, 2, ...; terms are kept as logarithms, so any rate works."""
-    last = (rate + TAIL * F.sqrt(rate) + TAIL_LEAST).cast("int")
-    step = F.struct(F.lit(0.0).alias("log_p"), F.lit(0.0).alias("total"), F.array().cast("array<double>").alias("cdf"))
+def poisson_table(rates: DataFrame) -> DataFrame:
+    """(source, first, cdf) for (source, rate): the distribution function of Poisson(rate) at first, first + 1, ...
 
-    def add(acc, k):
-        log_p = F.when(k == 0, -rate).otherwise(acc["log_p"] + F.log(rate) - F.log(k.cast("double")))
-        total = acc["total"] + F.exp(log_p)
-        return F.struct(log_p.alias("log_p"), total.alias("total"), F.concat(acc["cdf"], F.array(total)).alias("cdf"))
-
-    table = F.aggregate(F.sequence(F.lit(0), last), step, add)["cdf"]
-    return F.when(rate > 0, table).otherwise(F.array(F.lit(1.0)))
-
-
-def copy_numbers(u: Column, cdf: Column) -> Column:
-    """Array of 0, 1, ... with as many entries as terms of ``cdf`` are <= ``u``.
+    Only TAIL deviations around the mean are tabulated, one row a value and
+    2 * TAIL * sqrt(rate) + TAIL_LEAST rows a source; a running sum over them adds
+    up logarithms, then terms.  A term far from 0 starts from Stirling's
+    series in a form without cancellation, so any rate works.
+    """
+    rate, k = F.col("rate"), F.col("k")
+    first = F.when(rate > SMALL_RATE, F.floor(rate - TAIL * F.sqrt(rate))).otherwise(F.lit(0)).cast("long")
+    last = F.when(rate > 0, F.floor(rate + TAIL * F.sqrt(rate) + TAIL_LEAST)).otherwise(F.lit(0)).cast("long")
+    x = (rate - k) / k
+    far = k * (F.log1p(x) - x) - F.log(2 * math.pi * k) / 2 - 1 / (12 * k) + 1 / (360 * k * k * k)
+    step = F.when(k > F.col("first"), F.log(rate) - F.log(k)).when(k == 0, -rate).otherwise(far)
+    upward = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    terms = (rates.select("source", "rate", first.alias("first"), F.explode(F.sequence(first, last)).alias("i")).withColumn("k", F.col("i").cast("double"))
+                  .withColumn("log_p", F.sum(step).over(upward)).withColumn("total", F.sum(F.exp("log_p")).over(upward)))
+    # the distribution function never falls, so its values sort as their places do
+    return terms.groupBy("source", "first").agg(F.sort_array(F.collect_list("total")).alias("cdf"))
+
+
+def copy_count(u: Column, first: Column, cdf: Column) -> Column:
+    """How many values of the distribution function are <= ``u``: those before ``first`` are.
 
     ``u`` is bound by a one-element array: inside the filter it would be hashed again for every term.
     """
-    def numbers(v: Column) -> Column:
-        n = F.size(F.filter(cdf, lambda c: c <= v))
-        return F.slice(F.sequence(F.lit(0), n), F.lit(1), n)
-    return F.flatten(F.transform(F.array(u), numbers))
+    def count(v: Column) -> Column:
+        return first + F.size(F.filter(cdf, lambda c: c <= v))
+    return F.get(F.transform(F.array(u), count), F.lit(0))
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, default_weight: float = 1.0, epochs: float = 1.0,
@@ -92,11 +103,15 @@ def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, default_weight:
     each partition by it: a random order of the whole, without a sampling pass.
     """
     docs = docs.drop("copy", "shuffle_key")
-    rates = source_rates(docs, weights, default_weight, epochs, source, text).select(
-        F.col("source").alias("__mix_source"), poisson_table(F.col("rate")).alias("__mix_cdf"))
+    tables = poisson_table(source_rates(docs, weights, default_weight, epochs, source, text))
+    rates = materialize(tables.select(F.col("source").alias("__mix_source"), F.col("first").alias("__mix_first"), F.col("cdf").alias("__mix_cdf")))
     u = unit_hash(F.lit(seed), F.col(doc_id), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
     out = docs.join(rates, F.col(source).eqNullSafe(F.col("__mix_source")))
-    out = out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(copy_numbers(u, F.col("__mix_cdf"))).alias("copy"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    out = out.select(*own, copy_count(u, F.col("__mix_first"), F.col("__mix_cdf")).alias("__mix_n")).where("__mix_n > 0")
+    out = out.select(*own, "__mix_n", F.explode(F.expr(f"sequence(0L, (__mix_n - 1) div {BLOCK})")).alias("__mix_block"))
+    out = out.select(*own, F.explode(F.expr(
+        f"sequence(int(__mix_block * {BLOCK}), int(least(__mix_n, (__mix_block + 1) * {BLOCK}) - 1))")).alias("copy"))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")),
                             F.col("copy").cast("string")).cast("binary"))
     return out.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
