@@ -7,8 +7,9 @@ second best comes within MARGIN of it, the decision is marked as rejected.
 
 The dictionaries are fitted on a bounded sample: about SAMPLE_DOCS different
 labelled texts a language, at most EXCERPT characters of each, and DICTIONARY
-bytes in all, to which every sampled text gives an equal share.  Prediction
-reads every whole text.
+bytes in all, to which every sampled text gives an equal share.  An excerpt lies
+at a hashed place among the text's letters, so no part of a text is preferred.
+Prediction reads every whole text.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import materialize, prepare_python, sample_fraction
+from harrow.llm.common import fresh, hashed_window, materialize, prepare_python, sample_fraction
 
 SAMPLE_DOCS, EXCERPT, DICTIONARY = 200, 1000, 65536
 CHUNK = 1024
@@ -57,14 +58,16 @@ def even_shares(parts: list[bytes], total: int) -> list[bytes]:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """Dictionary content by language; rows with null lang or without letters are left out.
 
-    Texts whose excerpts differ in nothing but case, digits and marks are one
-    text, so copies neither crowd the sample nor the dictionary.  A hash of that
-    excerpt decides what is sampled and orders the dictionary.
+    Whole texts that differ in nothing but case, digits and marks are one
+    text, so copies neither crowd the sample nor the dictionary.  A hash of its
+    letters decides what is sampled, where its excerpt lies, and orders the
+    dictionary.  Runs of anything but letters count as one character of the
+    excerpt, so texts that open with digits or marks lend letters as well.
     """
-    excerpt = F.substring(text, 1, EXCERPT)
-    letters = F.lower(F.regexp_replace(excerpt, r"[^\p{L}\p{M}']+", " "))
+    letters = F.trim(F.lower(F.regexp_replace(text, r"[^\p{L}\p{M}']+", " ")))
     known = (labelled.where(F.col(lang).isNotNull() & F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}"))
-                     .select(F.col(lang).alias("_lang"), F.xxhash64(F.trim(letters)).alias("_hash"), excerpt.alias("_text")))
+                     .select(F.col(lang).alias("_lang"), letters.alias("_letters"))
+                     .select("_lang", F.xxhash64("_letters").alias("_hash"), hashed_window(F.col("_letters"), EXCERPT).alias("_text")))
     # only hashes are made different and counted; the join with the few chosen ones is a map-side filter
     chosen = materialize(sample_fraction(known.select("_lang", "_hash").distinct(), "_lang", SAMPLE_DOCS, F.col("_hash")))
     # bounded: about SAMPLE_DOCS * EXCERPT characters a language
@@ -138,5 +141,6 @@ def predict(docs: DataFrame, dictionaries: Mapping[str, bytes], text: str = "tex
                 rows.append((names[best], float(1.0 / weight.sum()), _lead(size) < MARGIN))
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"])
 
-    return (docs.drop("lang_pred", "score", "rejected").withColumn("_judged", judged(F.col(text)))
-                .select("*", "_judged.*").drop("_judged"))
+    docs = docs.drop("lang_pred", "score", "rejected")
+    [own] = fresh(docs, "_judged")
+    return docs.withColumn(own, judged(F.col(text))).select("*", f"{own}.*").drop(own)
