@@ -9,7 +9,10 @@ logistic curve fitted on the training documents turns that into a score.
 
 The classifier is fitted on a bounded sample: about TOXIC_SAMPLE toxic and
 ORDINARY_SAMPLE ordinary labelled documents, of each at most SAMPLE_CHARS
-characters from its start.  Scoring reads every whole text.
+neighbouring characters at a hashed place.  All of them serve the word counts
+and the calibration; the dictionaries are trained on at most DICTIONARY_TEXTS
+different ones of each kind, chosen by a hash of the text.  Scoring reads every
+whole text.
 
 Toxic documents consist mostly of ordinary language, so toxic *text* is found
 first: the words which toxic documents use in significantly more different
@@ -35,9 +38,9 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import ascii_lower, materialize, sample_fraction, prepare_python, text_bytes
+from harrow.llm.common import ascii_lower, hashed_window, materialize, sample_fraction, prepare_python, text_bytes
 
-TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_CHARS = 2000, 4000, 50_000
+TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_CHARS, DICTIONARY_TEXTS = 2000, 4000, 50_000, 500
 WINDOW = 16
 LEVEL = 6
 ORDINARY_BYTES, TOXIC_BYTES = 32768, 32768
@@ -194,16 +197,16 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "to
     target = F.when(F.col("_toxic") == 1, TOXIC_SAMPLE).otherwise(ORDINARY_SAMPLE)
     chosen = materialize(sample_fraction(known, "_toxic", target, F.col("_key")))
     sample = materialize(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(chosen, "_key").select(
-        "_toxic", F.substring(F.coalesce("_text", F.lit("")), 1, SAMPLE_CHARS).alias("_text")))
+        "_toxic", hashed_window(F.coalesce("_text", F.lit("")), SAMPLE_CHARS).alias("_text")))
     n1, n0 = shares.get(1, 0), shares.get(0, 0)
     words = distinctive_words(sample)
 
-    def texts(kind: int, most: int) -> list[bytes]:
-        """Different texts, the same ones in every run."""
+    def texts(kind: int) -> list[bytes]:
+        """At most DICTIONARY_TEXTS different texts, the same ones in every run."""
         return [r["_text"].encode() for r in sample.where(F.col("_toxic") == kind).select("_text").distinct().orderBy(
-            F.xxhash64("_text"), "_text").limit(most).collect()]
+            F.xxhash64("_text"), "_text").limit(DICTIONARY_TEXTS).collect()]
 
-    plain, marked = texts(0, ORDINARY_SAMPLE // 8), texts(1, TOXIC_SAMPLE // 4)
+    plain, marked = texts(0), texts(1)
     base = _train([w for t in plain for w in windows(t, 8)], ORDINARY_BYTES) if plain else b""
     listed = b" " + b" ".join(reversed(words)) + b" "
     if words:
