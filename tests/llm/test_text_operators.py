@@ -287,6 +287,77 @@ def test_passages_go_whole(spark):
     assert all(out[i].text == t and out[i].removed_runs == 0 for i, t in rows[-6:])
 
 
+def brute_passages(texts):
+    """For texts by id: the kept lines of each and the removed runs as (id, start, end, id of the heads' text, its start)."""
+    lines = {i: t.split("\n") for i, t in sorted(texts.items())}
+    units = [(i, s, size) for i, x in lines.items() for size in (1, 2) for s in range(len(x) - size + 1)
+             if size == 2 or len(x[s].split()) >= line_dedup.LONG_WORDS]
+    heads = {}
+    for i, s, size in sorted(units):
+        heads.setdefault(tuple(lines[i][s:s + size]), (i, s))
+    later = {}
+    for i, s, size in units:
+        j, r = heads[tuple(lines[i][s:s + size])]
+        if (i, s) != (j, r) and not (i == j and s < r + size):
+            later[i, s, size] = (j, r)
+
+    def runs(units):
+        groups = defaultdict(list)
+        for (i, s, size), (j, r) in sorted(units.items()):
+            chain = groups[i, j, s - r]
+            if chain and s < chain[-1][1]:
+                chain[-1][1] = max(chain[-1][1], s + size)
+            else:
+                chain.append([s, s + size])
+        found = [(i, s, e, j, s - offset) for (i, j, offset), chains in groups.items() for s, e in chains]
+        return [x for x in found if len(" ".join(lines[x[0]][x[1]:x[2]]).split()) >= line_dedup.LONG_WORDS
+                or sum(bool(y.strip(" ")) for y in lines[x[0]][x[1]:x[2]]) >= 2]
+
+    cut = {(i, k) for i, s, e, _, _ in runs(later) for k in range(s, e)}
+    found = runs({u: (j, r) for u, (j, r) in later.items() if not any((j, k) in cut for k in range(r, r + u[2]))})
+    gone = {(i, k) for i, s, e, _, _ in found for k in range(s, e)}
+    return {i: [(k, y) for k, y in enumerate(x) if (i, k) not in gone] for i, x in lines.items()}, found, lines
+
+
+def passage_rows(seed):
+    """Texts over few different lines, so that runs overlap, repeat within a text and copy each other; some lines are long."""
+    import random
+    rng = random.Random(seed)
+    pool = [f"l{k}" for k in range(14)] + ["", " ", "x y z"] + [f"g{k} " + "w " * 52 for k in range(3)]
+    texts = [[rng.choice(pool) for _ in range(rng.randrange(1, 14))] for _ in range(60)]
+    for _ in range(40):  # copies of stretches in other surroundings
+        a = rng.choice(texts)
+        s = rng.randrange(len(a))
+        texts.append([rng.choice(pool)] * rng.randrange(3) + a[s:s + rng.randrange(2, 9)] + [rng.choice(pool)])
+    return {i: "\n".join(x) for i, x in enumerate(texts)}
+
+
+def check_passages(spark, texts):
+    kept, runs, lines = brute_passages(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r.doc_id: r for r in line_dedup.dedup_passages(docs).collect()}
+    per_text = Counter(x[0] for x in runs)
+    for i, text in texts.items():
+        assert out[i].text == ("\n".join(y for _, y in kept[i]) if per_text[i] else text)
+        assert out[i].removed_runs == per_text[i] and out[i].removed_lines == len(lines[i]) - len(kept[i])
+    for i, s, e, j, r in runs:  # what a run copies stands unbroken in a kept text
+        assert lines[i][s:e] == lines[j][r:r + e - s] and {(k, lines[j][k]) for k in range(r, r + e - s)} <= set(kept[j])
+    return runs
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passages_equal_brute_force_and_what_they_copy_stays(spark, seed):
+    assert len(check_passages(spark, passage_rows(seed))) > 30
+
+
+def test_passages_of_overlapping_runs_stay_somewhere(spark):
+    texts = {1: "x one\nb two\nc three", 2: "a zero\nb two\nc three", 3: "a zero\nb two\nq nine", 4: "e\ne\ne\ne\ne", 5: "f\ng\nf\ng\nf\ng"}
+    assert check_passages(spark, texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in line_dedup.dedup_passages(docs).collect()}
+    assert [out[i] for i in (1, 2, 3)] == [texts[1], "a zero", texts[3]] and out[5] == "f\ng"
+
+
 def test_passages_odd_and_empty_tables(spark):
     assert line_dedup.dedup_passages(odd_docs(spark)).count() == len(odd_rows())
     assert line_dedup.dedup_passages(no_docs(spark)).count() == 0
