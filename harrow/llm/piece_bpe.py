@@ -7,8 +7,9 @@ joined until the agenda is empty.  Symbols that are no piece become their bytes.
 
 The symbols are cut before each run of spaces, at line feeds and before closing
 marks, if no piece of the vocabulary reaches across.  Each segment is merged by
-itself, and those that recur are kept in a bounded cache.  Every Arrow batch is
-checked against the sentencepiece library.
+itself, and those that recur are kept in a bounded cache; of a batch each
+different segment is looked up once.  Every Arrow batch is checked against the
+sentencepiece library.
 """
 
 from __future__ import annotations
@@ -29,11 +30,13 @@ from pyspark.sql import functions as F
 
 from harrow.llm.agenda import PairTable
 from harrow.llm.common import prepare_python
-from harrow.llm.pretokens import MARKS, Cache
+from harrow.llm.pretokens import CACHE_LENGTH, MARKS, Cache
 
 SPACE = "▁"
 #: Segments of up to so many symbols are merged together.
 FEW = 40
+#: Characters of a batch that are read together.
+SLICE = 1 << 22
 
 
 def _each_byte(error: UnicodeDecodeError) -> tuple[str, int]:
@@ -179,34 +182,64 @@ class PieceModel:
                 out.append((self.spaced_words, line.split(" ")))
         return out
 
-    def _learn(self, cache: Cache, words: set[str]) -> None:
+    def _learn(self, cache: Cache, words: Sequence[str]) -> None:
         """Merge all new words together; a closing mark that nothing joins is left to ``make``."""
         cut = {w[:-1] if w and w[-1] in MARKS and (w[-2:-1] or SPACE, w[-1]) not in self.joined else w for w in words}
         space = SPACE if cache is self.spaced_words else ""
         new = [w for w in cut if (w or space) and len(w) < FEW and w not in cache and w not in cache.old]
         cache.learn(new, self.merge_each([space + w for w in new]))
 
+    def _ids(self, cache: Cache, words: list[str]) -> list[bytes]:
+        """Ids of different segments of ``cache``; what its young generation lacks is looked up, merged and remembered together."""
+        found = list(map(cache.get, words))
+        missing = [w for w, x in zip(words, found) if x is None]
+        if not missing:
+            return found
+        own = {w: x for w, x in zip(missing, map(cache.old.get, missing)) if x is not None}
+        new = [w for w in missing if w not in own]
+        self._learn(cache, new)
+        for w in new:
+            x = cache.get(w)
+            own[w] = cache.make(w) if x is None else x
+        kept = [w for w in missing if len(w) <= CACHE_LENGTH]
+        cache.learn(kept, [own[w] for w in kept])
+        return [own[w] if x is None else x for w, x in zip(words, found)]
+
     def encode_all(self, texts: Sequence[str]) -> list[np.ndarray]:
-        """All ids of each text, without begin or end; none for an empty text."""
-        caches, looked_up = (self.known, self.spaced_words), []
-        unknown: list[set[str]] = [set(), set()]
+        """All ids of each text, without begin or end; none for an empty text.
+
+        The segments of all texts are numbered, each different one is looked up
+        or merged once, and the ids are gathered by number.
+        """
+        words, sizes, spaced, per_text = [], [], [], []
         for t in texts:
-            own = []
-            for cache, words in self._runs(t):
-                found = list(map(cache.get, words))
-                if None in found:
-                    unknown[cache is self.spaced_words].update([w for w, x in zip(words, found) if x is None])
-                    own.append((cache, words, found))
-                else:
-                    own.append((None, None, found))
-            looked_up.append(own)
-        for cache, words in zip(caches, unknown):
-            self._learn(cache, words)
-        out = []
-        for own in looked_up:
-            ids = [b"".join(found) if cache is None else b"".join([x or cache[w] for w, x in zip(words, found)]) for cache, words, found in own]
-            out.append(np.frombuffer(b"".join(ids), np.int32))
-        return out
+            before = len(words)
+            for cache, run in self._runs(t):
+                words += run
+                sizes.append(len(run))
+                spaced.append(cache is self.spaced_words)
+            per_text.append(len(words) - before)
+        if not words:
+            return [np.empty(0, np.int32) for _ in texts]
+        numbered = pa.array(words, pa.large_string()).dictionary_encode()
+        number = 2 * numbered.indices.to_numpy().astype(np.int64) + np.repeat(np.array(spaced, np.int64), sizes)
+        names = numbered.dictionary.to_pylist()
+        of_number, ids = np.empty(2 * len(names), np.int64), []
+        for kind, cache in enumerate((self.known, self.spaced_words)):
+            met = np.zeros(len(names), bool)
+            met[number[number & 1 == kind] >> 1] = True
+            which = np.flatnonzero(met)
+            of_number[2 * which + kind] = np.arange(len(ids), len(ids) + len(which))
+            ids += self._ids(cache, [names[k] for k in which.tolist()])
+        length = np.array([len(x) >> 2 for x in ids], np.int64)
+        begin = np.cumsum(length) - length
+        met = of_number[number]
+        many = length[met]
+        ends = np.cumsum(many)
+        place = np.repeat(begin[met] - (ends - many), many) + np.arange(ends[-1])
+        out = np.frombuffer(b"".join(ids), np.int32)[place]
+        edges = np.concatenate(([0], ends))[np.cumsum(per_text)]
+        return np.split(out, edges[:-1])
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
@@ -244,13 +277,16 @@ def encode_and_decode(docs: DataFrame, model: str, text: str = "text", check: bo
     def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = piece_model(model)
         for batch in batches:
-            texts = [t or "" for t in batch.to_pylist()]
-            ids = pieces.encode_all(texts)
-            plain = [x.tolist() for x in ids]
-            decoded = list(map(pieces.decode, plain))
-            if check and texts:
-                _compare("encode", texts, plain, pieces.library.encode(texts, num_threads=1))
-                _compare("decode", texts, decoded, pieces.library.decode(plain, num_threads=1))
+            ids, decoded = [], []
+            for texts in _slices([t or "" for t in batch.to_pylist()]):
+                found = pieces.encode_all(texts)
+                plain = [x.tolist() for x in found]
+                back = list(map(pieces.decode, plain))
+                if check:
+                    _compare("encode", texts, plain, pieces.library.encode(texts, num_threads=1))
+                    _compare("decode", texts, back, pieces.library.decode(plain, num_threads=1))
+                ids += found
+                decoded += back
             ends = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64)))
             values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
@@ -263,6 +299,19 @@ def encode_and_decode(docs: DataFrame, model: str, text: str = "text", check: bo
     return read_once.select("row.*", F.col("read.ids").alias("piece_ids"), F.col("read.decoded").alias("decoded_text"))
 
 
+def _slices(texts: list[str]) -> Iterator[list[str]]:
+    """Neighbouring texts of SLICE characters at most, or one longer text."""
+    begin = size = 0
+    for k, t in enumerate(texts):
+        if k > begin and size + len(t) > SLICE:
+            yield texts[begin:k]
+            begin = k
+            size = 0
+        size += len(t)
+    if texts:
+        yield texts[begin:]
+
+
 def _compare(what: str, texts: list[str], own: list, library: list) -> None:
     if own != library:
         k = next(i for i, (a, b) in enumerate(zip(own, library)) if a != b)
