@@ -223,7 +223,7 @@ class PieceModel:
             return [np.empty(0, np.int32) for _ in texts]
         numbered = pa.array(words, pa.large_string()).dictionary_encode()
         number = 2 * numbered.indices.to_numpy().astype(np.int64) + np.repeat(np.array(spaced, np.int64), sizes)
-        names = numbered.dictionary.to_pylist()
+        names = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         of_number, ids = np.empty(2 * len(names), np.int64), []
         for kind, cache in enumerate((self.known, self.spaced_words)):
             met = np.zeros(len(names), bool)
