@@ -123,14 +123,14 @@ def has_any(hay: Column, terms) -> Column:
 def matched_terms(hay: Column, terms) -> Column:
     """Terms (in dictionary order) found in a prepared haystack.
 
-    One alternation decides whether any term hits; only hit rows evaluate the
-    per-term patterns.
+    One alternation decides whether any term hits; only hit rows look for single
+    terms, and only texts that contain a term evaluate its pattern.
     """
     terms = list(terms)
     if not terms:
         return F.array().cast("array<string>")
     per_term = F.array_compact(F.array(*[
-        F.when(hay.rlike(term_pattern(t)), F.lit(t)) for t in terms
+        F.when(hay.contains(t) & hay.rlike(term_pattern(t)), F.lit(t)) for t in terms
     ]))
     return F.when(has_any(hay, terms), per_term).otherwise(F.array().cast("array<string>"))
 

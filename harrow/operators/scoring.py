@@ -225,8 +225,14 @@ def gate(scored: DataFrame) -> DataFrame:
 
 
 def tag_categories(scored: DataFrame, key: str = "ord") -> DataFrame:
-    """T6 as rows: one (key, category) per tag of a gated posting."""
-    return scored.select(key, F.explode("categories").alias("category"))
+    """T6 as rows: one (key, category) per tag of a gated posting.
+
+    Rows without a tag are dropped behind the generator: ``explode`` infers a
+    filter on its array, which is pushed below the projections of the scorer and
+    there evaluates every keyword pattern on a haystack that it builds anew.
+    """
+    tags = scored.select(key, F.posexplode_outer("categories").alias("__place", "category"))
+    return tags.filter("__place is not null").select(key, "category")
 
 
 def score_params(postings: DataFrame, settings: DataFrame, now: dt.datetime, guild: str = "guild_id") -> DataFrame:
