@@ -34,3 +34,26 @@ def test_terms_are_matched_as_whole_words(spark):
     rows = spark.createDataFrame([("C++ intern",), ("internal c+",), ("co op  Intern.",), (None,)], "t string")
     got = [r[0] for r in rows.select(matched_terms(keyword_haystack(F.col("t")), ["intern", "c++", "co op"])).collect()]
     assert got == [["intern", "c++"], [], ["intern", "co op"], []]
+
+
+def test_similar_sets_find_all_pairs_without_a_join_on_single_tokens(spark):
+    import random
+
+    from harrow.operators import dedup as D
+    draw, sets = random.Random(5), []
+    for block in ("x", "y", None):
+        for _ in range(60):
+            # frequent words, so any two sets share many of them
+            base = [f"w{min(draw.randrange(90), draw.randrange(90))}" for _ in range(draw.choice([1, 2, 3, 5, 7, 8, 13, 20, 40, 90]))]
+            for _ in range(draw.randrange(4)):
+                other = [w for w in base if draw.random() > 0.06] + [f"n{draw.randrange(50)}" for _ in range(draw.randrange(3))]
+                sets.append((block, len(sets), sorted(set(other))))
+            sets.append((block, len(sets), sorted(set(base))))
+    rows = spark.createDataFrame(sets, "block string, rep long, tokens array<string>").withColumn("n", F.size("tokens"))
+    for threshold in (0.5, 0.85, 0.9):
+        found = D.similar_sets(rows, "block", "tokens", threshold)
+        want = {(b, i, j) for b, i, s in sets for c, j, t in sets if b is not None and b == c and i < j and s and t
+                and len(set(s) & set(t)) / len(set(s) | set(t)) >= threshold}
+        assert {(r.block, r.a, r.b) for r in found.collect()} == want and found.count() == len(want)
+        joins = [line for line in plan_of(found).splitlines() if "Join " in line]
+        assert joins and not any("tok#" in line for line in joins)
