@@ -57,3 +57,22 @@ def test_similar_sets_find_all_pairs_without_a_join_on_single_tokens(spark):
         assert {(r.block, r.a, r.b) for r in found.collect()} == want and found.count() == len(want)
         joins = [line for line in plan_of(found).splitlines() if "Join " in line]
         assert joins and not any("tok#" in line for line in joins)
+
+
+def _noted(monkeypatch, module):
+    """What a module writes as checkpoints while it runs."""
+    seen, write = [], module.reliable_checkpoint
+    monkeypatch.setattr(module, "reliable_checkpoint", lambda df: seen.append(df) or write(df))
+    return seen
+
+
+def test_rounds_of_acceptance_carry_short_nodes_and_join_them_once(spark, monkeypatch):
+    from harrow.operators import dedup as D
+    from harrow.plans.suite_catalog import scored_batch
+    batch = scored_batch(spark, SF_SMALL)
+    seen, stats = _noted(monkeypatch, D), {}
+    D.dedup_batch(batch, stats=stats)
+    nodes = [df for df in seen if "kid" in df.columns]
+    assert stats["rounds"] > 1 and all(df.schema["kid"].dataType.simpleString() == "binary" for df in nodes)
+    # nodes and hops at first, then for each round but the last the kept rows and what is asked of them
+    assert len(nodes) == 2 + 2 * (stats["rounds"] - 1)
