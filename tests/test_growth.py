@@ -76,3 +76,15 @@ def test_rounds_of_acceptance_carry_short_nodes_and_join_them_once(spark, monkey
     assert stats["rounds"] > 1 and all(df.schema["kid"].dataType.simpleString() == "binary" for df in nodes)
     # nodes and hops at first, then for each round but the last the kept rows and what is asked of them
     assert len(nodes) == 2 + 2 * (stats["rounds"] - 1)
+
+
+def test_a_scan_joins_the_wide_rows_of_a_batch_once(spark, tmp_path, monkeypatch):
+    from harrow.streaming import catalog_stream as C
+    store = C.catalog_store(spark, str(tmp_path / "store"), 2)
+    seen = _noted(monkeypatch, C)
+    changes = C.scan_changes(derived(spark, SF_SMALL, "d_postings"), store, NOW)
+    wide = [df for df in seen if "description" in df.columns and "raw_url" in df.columns]
+    # scored postings, accepted ones, touches: the latter two are written, and touches without what only inserts need
+    assert len(wide) == 3 and any("breakdown" not in df.columns for df in wide)
+    store.write(changes, "00000000")
+    assert store.rows("catalog").count() > 0
