@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.operators.pages import apply_disabled, expired_phrase, one_per_url, parse_date, with_jsonld, _vget, _vstr
+from harrow.operators.pages import _read_jsonld, _vget, _vstr, _walk_jsonld, apply_disabled, expired_phrase, one_per_url, parse_date
 from harrow.operators.scoring import ts_lit
 
 
@@ -27,9 +27,11 @@ def evaluate_expiry(pages: DataFrame, now: dt.datetime, html: str = "html") -> D
     404/410 expire; 5xx never do (transient); then a past JSON-LD validThrough,
     an expiry phrase, or all apply buttons disabled.
     """
-    df = with_jsonld(pages, html, "__node")
-    df = df.withColumn("__exp", parse_date(_vstr(_vget(F.col("__node"), "$.validThrough"))))
+    df = _read_jsonld(pages, html)
+    # before the Python step, so that html isn't queued for it
     df = df.withColumn("__phrase", expired_phrase(F.col(html))).withColumn("__btn", apply_disabled(F.col(html)))
+    df = _walk_jsonld(df, "__node")
+    df = df.withColumn("__exp", parse_date(_vstr(_vget(F.col("__node"), "$.validThrough"))))
     status = F.col("status_code")
     code = F.concat(F.lit("http_"), status.cast("string"))
     past = F.col("__exp").isNotNull() & (F.col("__exp") < ts_lit(now))

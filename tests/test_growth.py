@@ -88,3 +88,37 @@ def test_a_scan_joins_the_wide_rows_of_a_batch_once(spark, tmp_path, monkeypatch
     assert len(wide) == 3 and any("breakdown" not in df.columns for df in wide)
     store.write(changes, "00000000")
     assert store.rows("catalog").count() > 0
+
+
+def _nodes(plan):
+    """All nodes of a logical plan."""
+    yield plan
+    below = plan.children()
+    for i in range(below.size()):
+        yield from _nodes(below.apply(i))
+
+
+def test_pages_reach_python_without_html_and_after_their_landing_is_chosen(spark):
+    from __spark_entry__ import queries
+    for name in ("p12_extract_postings", "m7_mark_expired"):
+        nodes = list(_nodes(queries()[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan()))
+        waiting = [n for n in nodes if n.nodeName() == "ArrowEvalPython"]
+        assert waiting and not any("html" in [n.output().apply(i).name() for i in range(n.output().size())] for n in waiting), name
+        if name == "p12_extract_postings":
+            below = [m for n in nodes if n.nodeName() == "Aggregate" for m in _nodes(n)]
+            assert below and not any(m.nodeName() == "ArrowEvalPython" for m in below)
+
+
+def test_the_first_landing_of_a_page_counts(spark):
+    from harrow.operators import pages as P
+    url = "https://jobs.lever.co/fox/1"
+    deep = '<script type="application/ld+json">[[[[[{"@type":"JobPosting","title":"Deep &amp; dark","description":"<p>R&amp;D</p>"}]]]]]</script>'
+    flat = '<script type="application/ld+json">{"@type":"JobPosting","title":"Flat"}</script>'
+    pages = spark.createDataFrame([
+        (2, url, url, 200, flat), (1, url, url, 410, deep), (3, url + "0", url + "0", 200, "<title>A &lt; B</title>"),
+    ], "ord long, url string, final_url string, status_code int, html string")
+    hits = spark.createDataFrame([(7, url, "hit", "x &amp; y"), (8, url + "0", None, "x &amp; y"), (9, url + "9", "hit", "x &amp; y")],
+                                 "ord long, url string, title string, snippet string")
+    got = {r.ord: (r.title, r.description, r.is_expired, r.source) for r in P.extract_postings(hits, pages, order="ord").collect()}
+    assert got == {7: ("Deep &amp; dark", "R&D", True, "jsonld"), 8: ("A < B", "x & y", False, "html"), 9: ("hit", "x & y", False, "search")}
+    assert {r.ord: r.source for r in P.extract_postings(hits, pages.drop("ord")).collect()} == {7: "jsonld", 8: "html", 9: "search"}
