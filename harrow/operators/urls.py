@@ -13,6 +13,7 @@ from harrow.functions.dictionaries import (
     PUBLIC_IPV4_EXCEPTIONS,
 )
 from harrow.functions.urls import URL_RX, url_host, with_canonical_url
+from harrow.session import reliable_checkpoint
 
 
 def canonicalize_urls(df: DataFrame, col: str = "url", out: str = "canonical_url") -> DataFrame:
@@ -142,17 +143,23 @@ def resolve_platform_by_table(df: DataFrame, domains: DataFrame, col: str = "url
         out = out.withColumn("platform_slug", F.lit(None).cast("string")).drop("__host")
         return out if keep_unmatched else out.filter("platform_slug is not null")
     own = ["__host"] + ([guild] if guild else [])
-    hosts = out.select(*own).filter("__host <> ''").distinct()
+    # no filter on the host here or below: it would be pushed down to the scan, where the URL is taken apart once more for it
+    hosts = out.select(*own).distinct()
     fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("__host"))
     ends = hosts.select(*own, F.explode(F.transform(fitting, lambda n: F.right(F.col("__host"), n))).alias("__end"))
     if dot_boundary:
         ends = ends.filter((F.col("__end") == F.col("__host")) | F.col("__host").endswith(F.concat(F.lit("."), F.col("__end"))))
     if guild:
-        found = ends.join(d.filter(F.col(guild).isNull()).drop(guild), "__end").unionByName(ends.join(d, ["__end", guild]))
+        # an end meets the domains of all guilds, whose guild is null, and those of its own
+        ends = ends.withColumn("__for", F.explode(F.when(F.col(guild).isNull(), F.array(F.col(guild))).otherwise(
+            F.array(F.lit(None), F.col(guild)))))
+        d = d.withColumnsRenamed({guild: "__whose", "__end": "__domain"})
+        found = ends.join(d, (F.col("__end") == F.col("__domain")) & F.col("__for").eqNullSafe(F.col("__whose")))
     else:
         found = ends.join(d, "__end")
     best = found.groupBy(*own).agg(F.min(F.struct("priority", "__end", "platform_slug"))["platform_slug"].alias("platform_slug"))
-    best = best.withColumnsRenamed({c: f"__of_{c}" for c in own})
+    # written, so that Spark knows its size: rows of a few frequent hosts meet a small table where they are and aren't sent
+    best = reliable_checkpoint(best.withColumnsRenamed({c: f"__of_{c}" for c in own}))
     same = F.col("__host") == F.col("__of___host")
     if guild:
         same = same & F.col(guild).eqNullSafe(F.col(f"__of_{guild}"))

@@ -122,3 +122,24 @@ def test_the_first_landing_of_a_page_counts(spark):
     got = {r.ord: (r.title, r.description, r.is_expired, r.source) for r in P.extract_postings(hits, pages, order="ord").collect()}
     assert got == {7: ("Deep &amp; dark", "R&D", True, "jsonld"), 8: ("A < B", "x & y", False, "html"), 9: ("hit", "x & y", False, "search")}
     assert {r.ord: r.source for r in P.extract_postings(hits, pages.drop("ord")).collect()} == {7: "jsonld", 8: "html", 9: "search"}
+
+
+def test_platforms_by_guild_are_looked_up_without_another_pass_over_the_urls(spark, monkeypatch):
+    from __spark_entry__ import queries
+    from harrow.operators import urls as U
+    seen = _noted(monkeypatch, U)
+    plan = plan_of(queries()["p5b_platform_by_guild"](spark, SF_SMALL))
+    # the table of hosts is written; a filter on the host would take every URL apart once more at the scan
+    assert len(seen) == 1 and not any("Filter" in line and "regexp_extract" in line for line in plan.splitlines())
+    assert plan_of(seen[0]).count("Join ") == plan.count("Join ")
+
+
+def test_domains_of_all_guilds_hold_for_rows_without_a_guild(spark):
+    from harrow.operators import urls as U
+    rows = spark.createDataFrame([(1, "https://a.fox.com/x", None), (2, "https://a.fox.com/x", 1), (3, "https://a.fox.com/x", 2), (4, "", 1), (5, None, None),
+                                  (6, "https://b.org", None), (7, "https://b.org", 2)], "id int, url string, guild long")
+    table = spark.createDataFrame([("fox.com", "all", 5, None), ("a.fox.com", "own", 1, 1), ("b.org", "own", 1, 2), ("fox.com", "all", 5, None)],
+                                  "domain string, platform_slug string, priority int, guild long")
+    got = {r.id: r.platform_slug for r in U.resolve_platform_by_table(rows, table, guild="guild", keep_unmatched=True).collect()}
+    assert got == {1: "all", 2: "own", 3: "all", 4: None, 5: None, 6: None, 7: "own"}
+    assert {r.id for r in U.resolve_platform_by_table(rows, table, guild="guild").collect()} == {1, 2, 3, 7}
