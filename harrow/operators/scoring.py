@@ -28,6 +28,7 @@ from harrow.functions.dictionaries import (
     SOFTWARE_INDICATORS,
 )
 from harrow.functions.text import has_any, keyword_haystack, matched_terms, nullif_blank
+from harrow.session import reliable_checkpoint
 
 W = dict(SCORE_WEIGHTS)
 MAX_POSITIVE = sum(w for _, w in SCORE_WEIGHTS)
@@ -47,43 +48,56 @@ def tag_keywords(df: DataFrame, col: str, terms, out: str = "matched") -> DataFr
     return df.withColumn(out, F.array_sort(F.array_distinct(matched_terms(F.col("__hay"), terms)))).drop("__hay")
 
 
+# stands before and behind a lower-cased text, where no other letter A-Z is left
+EDGE = "A"
+
+
 def tag_keywords_by_table(df: DataFrame, col: str, terms: DataFrame, out: str = "matched") -> DataFrame:
     """T5 with a dictionary of any size: ``terms`` has a column ``term``; the result equals ``tag_keywords``.
 
-    A text is cut into runs of [a-z0-9] and what stands between.  Every stretch
-    of as many runs as some term has meets the terms in an equi-join on the text
-    from the first to the last run; characters that a term has before or behind
-    are compared with what stands there, and must not reach to the next run.
-    Equal texts are tagged once.  Terms without a letter or digit match nothing.
+    A text is cut into runs of [a-z0-9] and what stands between.  Every different
+    stretch of as many runs as some term has meets the terms in an equi-join on
+    the text from the first to the last run.  Terms with other characters before
+    or behind meet stretches that come with what stands around them; these
+    characters must be there and must not reach to the next run.  Equal texts are
+    tagged once.  Terms without a letter or digit match nothing, nor do terms with
+    a letter A-Z.  The dictionary is written, so that Spark knows its size.
     """
     core = F.regexp_extract("term", r"(?s)^[^a-z0-9]*([a-z0-9](?:.*[a-z0-9])?)", 1)
-    d = (terms.select("term").distinct().withColumn("core", core).filter("core <> ''")
+    d = (terms.select("term").distinct().withColumn("core", core).filter("core <> ''").filter(~F.col("term").rlike("[A-Z]"))
               .withColumn("lead", F.expr("substring(term, 1, instr(term, core) - 1)"))
               .withColumn("trail", F.expr("substring(term, length(lead) + length(core) + 1)"))
               .withColumn("n", F.size(F.regexp_extract_all("core", F.lit("[a-z0-9]+"), F.lit(0)))))
+    d = reliable_checkpoint(d.withColumn("bare", F.col("term") == F.col("core")))
     # as many numbers as terms have lengths in runs
-    sizes = sorted(r[0] for r in d.select("n").distinct().collect())
+    sizes = {bare: sorted(ns) for bare, ns in d.groupBy("bare").agg(F.collect_set("n")).collect()}
     hay = df.withColumn("__hay", keyword_haystack(F.col(col))).withColumn("__key", F.sha2(F.col("__hay"), 256))
-    # separators at even places, runs at odd ones
-    parts = F.regexp_extract_all("__hay", F.lit("[a-z0-9]+|[^a-z0-9]+"), F.lit(0))
-    texts = hay.select("__key", "__hay").distinct().select("__key", parts.alias("p")).select(
-        "__key", F.when(F.get("p", F.lit(0)).rlike("^[a-z0-9]"), F.concat(F.array(F.lit("")), "p")).otherwise(F.col("p")).alias("p"))
-
-    def stretches(n: int) -> Column:
-        count = F.floor(F.size("p") / 2).cast("int")
-        return F.transform(F.when(count >= n, F.sequence(F.lit(0), count - n)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(
-            F.array_join(F.slice(F.col("p"), i * 2 + 2, F.lit(2 * n - 1)), "").alias("core"), F.get(F.col("p"), i * 2).alias("before"),
-            F.coalesce(F.get(F.col("p"), i * 2 + 2 * n), F.lit("")).alias("behind"),
-            (i == 0).alias("first"), (i == count - n).alias("last")))
-
-    found = texts.select("__key", F.explode(F.concat(*[stretches(n) for n in sizes])).alias("x")).select("__key", "x.*") if sizes else None
-    if found is None:
+    if not sizes:
         return hay.withColumn(out, _empty()).drop("__hay", "__key")
-    open_left = F.col("first") | (F.length("before") > F.length("lead"))
-    open_right = F.col("last") | (F.length("behind") > F.length("trail"))
-    hits = found.join(d.drop("n"), "core").filter(
-        ((F.col("lead") == "") | (F.endswith("before", "lead") & open_left)) & ((F.col("trail") == "") | (F.startswith("behind", "trail") & open_right)))
-    tagged = hits.select("__key", "term").distinct().groupBy("__key").agg(F.array_sort(F.collect_list("term")).alias("__found"))
+    texts = hay.select("__key", "__hay").distinct().select("__key", F.concat(F.lit(EDGE), "__hay", F.lit(EDGE)).alias("__hay"))
+
+    def stretches(n: int, around: str) -> Column:
+        if n == 1 and not around:
+            return F.array_distinct(F.regexp_extract_all("__hay", F.lit("[a-z0-9]+"), F.lit(0)))
+        # found ahead of each place where a run or, with ``around``, what is before it begins, so that stretches may overlap
+        start = r"(?<![^a-z0-9])" if around else r"(?<![a-z0-9])"
+        runs = "[a-z0-9]++" + (f"(?:[^a-z0-9]++[a-z0-9]++){{{n - 1}}}+" if n > 1 else "")
+        return F.array_distinct(F.regexp_extract_all("__hay", F.lit(f"{start}(?=({around}{runs}{around}))"), F.lit(1)))
+
+    def found(bare: bool, around: str) -> DataFrame:
+        return texts.select("__key", F.explode(F.concat(*[stretches(n, around) for n in sizes[bare]])).alias("__stretch"))
+
+    hits = []
+    if True in sizes:
+        hits.append(found(True, "").join(d.filter("bare"), F.col("__stretch") == F.col("core")).select("__key", "term"))
+    if False in sizes:
+        wide = found(False, "[^a-z0-9]++").withColumn("core", F.regexp_extract("__stretch", r"(?s)^[^a-z0-9]+(.*[a-z0-9])[^a-z0-9]+\z", 1))
+        before, behind = F.regexp_extract("__stretch", "^[^a-z0-9]+", 0), F.regexp_extract("__stretch", r"[^a-z0-9]+\z", 0)
+        left = (F.col("lead") == "") | (F.endswith(before, "lead") & (F.length(before) > F.length("lead")))
+        right = (F.col("trail") == "") | (F.startswith(behind, "trail") & (F.length(behind) > F.length("trail")))
+        hits.append(wide.join(d.filter("not bare"), "core").filter(left & right).select("__key", "term"))
+    hits = hits[0].unionByName(hits[1]) if len(hits) > 1 else hits[0]
+    tagged = hits.groupBy("__key").agg(F.array_sort(F.collect_set("term")).alias("__found"))
     return hay.join(tagged, "__key", "left").withColumn(out, F.coalesce("__found", _empty())).drop("__hay", "__key", "__found")
 
 

@@ -143,3 +143,21 @@ def test_domains_of_all_guilds_hold_for_rows_without_a_guild(spark):
     got = {r.id: r.platform_slug for r in U.resolve_platform_by_table(rows, table, guild="guild", keep_unmatched=True).collect()}
     assert got == {1: "all", 2: "own", 3: "all", 4: None, 5: None, 6: None, 7: "own"}
     assert {r.id for r in U.resolve_platform_by_table(rows, table, guild="guild").collect()} == {1, 2, 3, 7}
+
+
+def test_stretches_of_a_text_meet_a_dictionary_of_known_size(spark, monkeypatch):
+    from __spark_entry__ import queries
+    seen = _noted(monkeypatch, S)
+    plan = plan_of(queries()["t5b_dictionary_join"](spark, SF_SMALL))
+    # the terms are read back from files, and a stretch isn't put together run by run
+    assert len(seen) == 1 and "term" in seen[0].columns and "LogicalRDD" not in plan and "slice(" not in plan
+
+
+def test_terms_with_marks_are_found_at_the_edges_and_side_by_side(spark):
+    texts = ["(the", "x(the", "x (the", "(the) the.", "c++", "c++ c", "c+++", "xc++", "a b c b c", "b  c", ", und", "x, und", "a, und b", "A(the", "", None, "(", "c++c++", "a a a"]
+    terms = ["(the", "c++", "b c", "a b c b c", ", und", "the", "A(the", "a a", "((", "A", ") the.", "+ c", "c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.matched for r in S.tag_keywords_by_table(rows, "text", spark.createDataFrame([(t,) for t in [*terms, "c", None]], "term string")).collect()}
+    # a term without a letter or digit matches nothing here
+    want = {r.id: r.matched for r in S.tag_keywords(rows, "text", [t for t in terms if t != "(("]).collect()}
+    assert got == want and got[0] == ["(the", "the"] and got[18] == ["a a"] and sum(map(len, got.values())) > 20
