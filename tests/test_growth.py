@@ -59,6 +59,45 @@ def test_similar_sets_find_all_pairs_without_a_join_on_single_tokens(spark):
         assert joins and not any("tok#" in line for line in joins)
 
 
+def test_long_sets_that_share_frequent_tokens_are_not_verified(spark, monkeypatch):
+    import random
+
+    from harrow.operators import dedup as D
+    draw, sets = random.Random(3), []
+    for i in range(24):
+        # long sets of common words and words of their own, each with a near copy that is just larger than a step of the sketch
+        own = {f"c{draw.randrange(3000)}" for _ in range(1500)} | {f"o{i}_{k}" for k in range(700)}
+        sets += [("x", 2 * i, sorted(own)), ("x", 2 * i + 1, sorted(own | {f"m{i}_{k}" for k in range(1 + 9 * i)}))]
+    rows = spark.createDataFrame(sets, "block string, rep long, tokens array<string>").withColumn("n", F.size("tokens"))
+    seen = _noted(monkeypatch, D)
+    found = D.similar_sets(rows, "block", "tokens", 0.85)
+    want = {(i, j, len(set(s) & set(t)) / len(set(s) | set(t))) for _, i, s in sets for _, j, t in sets
+            if i < j and len(set(s) & set(t)) / len(set(s) | set(t)) >= 0.85}
+    assert {(r.a, r.b, r.jaccard) for r in found.collect()} == want and len(want) >= 24
+    pairs = [df for df in seen if df.columns == ["block", "a", "b"]]
+    assert pairs and pairs[-1].count() <= 2 * len(want)
+
+
+def test_texts_are_sent_once_to_a_tile_and_compared_by_differences(spark, monkeypatch):
+    from harrow.operators import dedup as D
+    base = [f"w{k}" for k in range(60)]
+    # copies of one text that differ in one word each: all pairs are similar
+    sets = [("x", i, sorted([*base, f"n{i}"])) for i in range(40)] + [("y", 100 + i, sorted([*base[i:], "other"])) for i in range(20)]
+    rows = spark.createDataFrame(sets, "block string, rep long, tokens array<string>").withColumn("n", F.size("tokens"))
+    want = {(b, i, j, len(set(s) & set(t)) / len(set(s) | set(t))) for b, i, s in sets for c, j, t in sets
+            if b == c and i < j and len(set(s) & set(t)) / len(set(s) | set(t)) >= 0.85}
+    for share in (1 << 17, 5000):
+        monkeypatch.setattr(D, "SHARE", share)
+        with monkeypatch.context() as m:
+            seen = _noted(m, D)
+            found = D.similar_sets(rows, "block", "tokens", 0.85)
+        assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+        # a row for each text, not for each pair, and only what it has besides
+        differ = [df for df in seen if "__differ" in df.columns]
+        assert len(differ) == 1 and differ[0].count() <= 2 * len(sets) < len(want) / 5
+        assert differ[0].filter("key < 100").selectExpr("max(size(split(__differ[0].more, ' ')))").first()[0] == 1
+
+
 def _noted(monkeypatch, module):
     """What a module writes as checkpoints while it runs."""
     seen, write = [], module.reliable_checkpoint
