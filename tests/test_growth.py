@@ -29,6 +29,11 @@ def test_tags_as_rows_keep_null_tags_and_drop_rows_without_one(spark):
     assert got == sorted([(1, "a"), (1, None), (4, "b"), (4, "b")], key=str)
 
 
+def test_each_keyword_pattern_stands_once_in_the_scorer_behind_a_plain_search(spark):
+    plan = plan_of(S.score_postings(derived(spark, SF_SMALL, "d_postings"), NOW))
+    assert plan.count("|appsec|") == 1 and plan.count("RLIKE") <= plan.lower().count("contains(")
+
+
 def test_terms_are_matched_as_whole_words(spark):
     from harrow.functions.text import keyword_haystack, matched_terms
     rows = spark.createDataFrame([("C++ intern",), ("internal c+",), ("co op  Intern.",), (None,)], "t string")
