@@ -74,6 +74,7 @@ def test_long_sets_that_share_frequent_tokens_are_not_verified(spark, monkeypatc
         own = {f"c{draw.randrange(3000)}" for _ in range(1500)} | {f"o{i}_{k}" for k in range(700)}
         sets += [("x", 2 * i, sorted(own)), ("x", 2 * i + 1, sorted(own | {f"m{i}_{k}" for k in range(1 + 9 * i)}))]
     rows = spark.createDataFrame(sets, "block string, rep long, tokens array<string>").withColumn("n", F.size("tokens"))
+    monkeypatch.setattr(D, "FEW", 0)
     seen = _noted(monkeypatch, D)
     found = D.similar_sets(rows, "block", "tokens", 0.85)
     want = {(i, j, len(set(s) & set(t)) / len(set(s) | set(t))) for _, i, s in sets for _, j, t in sets
@@ -91,6 +92,9 @@ def test_texts_are_sent_once_to_a_tile_and_compared_by_differences(spark, monkey
     rows = spark.createDataFrame(sets, "block string, rep long, tokens array<string>").withColumn("n", F.size("tokens"))
     want = {(b, i, j, len(set(s) & set(t)) / len(set(s) | set(t))) for b, i, s in sets for c, j, t in sets
             if b == c and i < j and len(set(s) & set(t)) / len(set(s) | set(t)) >= 0.85}
+    few = D.similar_sets(rows, "block", "tokens", 0.85)
+    assert {tuple(r) for r in few.collect()} == want and few.count() == len(want)
+    monkeypatch.setattr(D, "FEW", 0)
     for share in (1 << 17, 5000):
         monkeypatch.setattr(D, "SHARE", share)
         with monkeypatch.context() as m:
